@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, simhash
+from . import mixing, pii, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_mixing": mixing.query,
     "op5_simhash": simhash.query,
 }
