@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality_rules, simhash, toxicity
+from . import importance, mixing, packing, pii, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
     "op3_quality_rules": quality_rules.query,
     "op4_mixing": mixing.query,
     "op5_simhash": simhash.query,
+    "op6_importance": importance.query,
     "op7_toxicity": toxicity.query,
     "op8_packing": packing.query,
 }
