@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, mixing, packing, pii, quality_rules, simhash, toxicity
+from . import importance, line_dedup, mixing, packing, pii, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -16,5 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_importance": importance.query,
     "op7_toxicity": toxicity.query,
     "op8_packing": packing.query,
+    "op10_line_dedup": line_dedup.query,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
