@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, line_dedup, mixing, packing, pii, quality_rules, simhash, toxicity
+from . import embedding_dedup, importance, line_dedup, mixing, packing, pii, quality_rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op3_quality_rules": quality_rules.query,
     "op4_mixing": mixing.query,
     "op5_simhash": simhash.query,
