@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, importance, line_dedup, mixing, packing, pii, quality_rules, simhash, toxicity
+from . import embedding_dedup, importance, line_dedup, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_importance": importance.query,
     "op7_toxicity": toxicity.query,
     "op8_packing": packing.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
