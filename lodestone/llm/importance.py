@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, table
@@ -169,15 +169,52 @@ def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Texts without n-grams (null, empty, blank) have weight 0 and lie on the rejected side: they add nothing to k and
     their keys are lowest. Rows alike in id and text share one key and stay or go together. Empty table: empty result.
     """
+    tied = docs.withColumn("__tie", _tie(id_col, text_col, seed))
+    scored = scratch(weights(tied, model, id_col, text_col, (*keep, "__tie")), "weights")
+    scored = scored.withColumns({"__weight": F.col("weight"), "__n": F.col("n"), "__key": _key(F.col("weight"), F.col("n"), F.col("__tie"))})
+    return scored.select("id", *keep, "weight", "n", F.col("__key").alias("key"), _kept(scored, model).alias("kept"))
+
+
+def _tie(id_col: str, text_col: str, seed: str) -> Column:
+    """Hash that orders equal keys and draws the noise; rows alike in id and text share it."""
     salted = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col).cast("string")))
-    scored = scratch(weights(docs.withColumn("__tie", F.lower(F.lpad(F.hex(salted), 16, "0"))), model, id_col, text_col, (*keep, "__tie")), "weights")
-    uniform = (F.conv(F.substring("__tie", 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    key = F.when(F.col("n") > 0, F.col("weight") - F.log(-F.log(uniform))).otherwise(F.lit(-1e300))
-    keyed = scored.withColumn("key", key)
-    k = scored.where((F.col("n") > 0) & (F.col("weight") >= model.threshold)).count()
-    last = kth_largest(keyed.select("key", F.col("__tie").alias("tie")), k)
-    kept = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.col("__tie") >= last[1]))
-    return keyed.select("id", *keep, "weight", "n", "key", kept.alias("kept"))
+    return F.lower(F.lpad(F.hex(salted), 16, "0"))
+
+
+def _key(weight: Column, n: Column, tie: Column) -> Column:
+    uniform = (F.conv(F.substring(tie, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.when(n > 0, weight - F.log(-F.log(uniform))).otherwise(F.lit(-1e300))
+
+
+def _kept(scored: DataFrame, model: Model) -> Column:
+    """Whether a row is among the k largest keys; scored: a written table."""
+    k = scored.where((F.col("__n") > 0) & (F.col("__weight") >= model.threshold)).count()
+    last = kth_largest(scored.select(F.col("__key").alias("key"), F.col("__tie").alias("tie")), k)
+    if last is None:
+        return F.lit(False)
+    return (F.col("__key") > last[0]) | ((F.col("__key") == last[0]) & (F.col("__tie") >= last[1]))
+
+
+def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
+    """The rows of docs, all columns, that resample() keeps. Columns whose names begin with two underscores are refused.
+
+    Documents are written once with their weights; the cut reads only the keys of that table.
+    """
+    if bad := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"names kept for internal use: {bad}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for b in batches:
+            found = [model.weigh(t.as_py(), known) for t in b.column(b.num_columns - 1)]
+            cols = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=names)
+
+    rows = docs.select("*", _tie(id_col, text_col, seed).alias("__tie"), F.col(text_col).cast("string").alias("__text"))
+    schema = rows.drop("__text").schema.add("__weight", "double").add("__n", "long")
+    names = schema.names
+    scored = scratch(rows.mapInArrow(run, schema), "weighed").withColumn("__key", _key(F.col("__weight"), F.col("__n"), F.col("__tie")))
+    return scored.where(_kept(scored, model)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import NULL_ID, scratch
 from .components import connected_components, forest
 
 SEED = 42
@@ -43,16 +43,18 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row of docs; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., fp long) for every row of docs; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint_of(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint_of(t.as_py()) for t in b.column(b.num_columns - 1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=names)
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
+    schema = chosen.drop("text").schema.add("fp", "long")
+    names = schema.names
+    return chosen.mapInArrow(run, schema)
 
 
 #: Parity masks of the [31,26] Hamming code: bit position p in 1..31 counts in mask j if bit j of p is set.
@@ -131,7 +133,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = scratch(fingerprints(docs, id_col, text_col), "doc-fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("least"))
     # an id may occur under several fingerprints: a representative must be one fingerprint's own, hence ranks by fp
-    reps = scratch(reps.withColumn("rep", F.coalesce("least", F.lit((1 << 63) - 1))), "representatives")
+    reps = scratch(reps.withColumn("rep", F.coalesce("least", F.lit(NULL_ID))), "representatives")
     clash = reps.groupBy("rep").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where("n > 1")
     if clash.isEmpty():
         found = group_fingerprints(reps, max_bits)
@@ -145,6 +147,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(known, "fp").select("id", "fp", "component")
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate group: the smallest id, of equal ids one row.
+
+    Columns whose names begin with two underscores are refused. Null ids rank last.
+    """
+    if bad := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"names kept for internal use: {bad}")
+    keys = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__row": F.xxhash64(F.col(text_col).cast("string"))}
+    keyed = docs.withColumns(keys)
+    fps = scratch(fingerprints(keyed, "__id", text_col, ("__row",)), "doc-fingerprints")
+    reps = scratch(fps.groupBy("fp").agg(F.min(F.struct("id", "__row")).alias("least")).select("fp", "least"), "representatives")
+    found = group_fingerprints(reps.select("fp", F.col("fp").alias("rep")), max_bits)
+    own = reps.join(found.withColumnRenamed("rep", "fp"), "fp", "left").withColumn("g", F.coalesce("component", "fp"))
+    stay = own.groupBy("g").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.__row").alias("__row"))
+    same = Window.partitionBy("__id", "__row").orderBy(F.lit(0))
+    kept = keyed.join(stay, ["__id", "__row"], "left_semi").withColumn("__copy", F.row_number().over(same))
+    return kept.where("__copy = 1").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
