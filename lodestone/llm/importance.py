@@ -36,7 +36,7 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class Hashes(dict):
     """CRC-32 of tokens, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.LIMIT:

@@ -30,20 +30,27 @@ SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 
 
 class Pieces(dict):
-    """Token ids (packed uint32) by white-space separated piece of text; the tokenizer splits at white space anyway."""
+    """Token ids (packed uint32) by white-space separated piece of text; the tokenizer splits at white space anyway.
 
-    LIMIT, LONGEST = 3_000_000, 40
+    Two generations of at most LIMIT pieces are kept: what is used again moves to the younger one.
+    """
+
+    LIMIT, LONGEST = 200_000, 40
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
