@@ -154,6 +154,7 @@ def train(labelled: DataFrame, max_features: int = MAX_FEATURES) -> Model:
     p, q, n = F.col("p"), F.col("q"), F.col("p") + F.col("q")
     share = pos / (pos + neg)
     gain = term(p, n * share) + term(q, n * (1 - share)) + term(pos - p, (pos + neg - n) * share) + term(neg - q, (pos + neg - n) * (1 - share))
+    counts = counts.coalesce(8)  # at most 2**20 rows; each task of the sort below returns max_features of them
     best = counts.where(n >= MIN_DOCS).select("bucket", "p", "q", gain.alias("gain")).orderBy(F.desc("gain"), "bucket").limit(max_features).collect()
     if not best:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((pos + 0.5) / (neg + 0.5))))
