@@ -9,10 +9,12 @@ carried from shard to shard. Nothing is shuffled; a lost task is packed again th
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +31,20 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_ids array<int>"
 
 
+# How the tokenizer file splits lower-case ASCII, and the file's normaliser and splitter.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _is_plain(tokenizer) -> bool:
+    """Whether a tokenizer treats text as _PARTS takes it to; any other is asked for every piece."""
+    made = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+    splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    byte_level = splits[-1].get("type") == "ByteLevel" and not splits[-1].get("add_prefix_space") and not splits[-1].get("use_regex")
+    return steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("pattern") == {"Regex": _SPLIT} and byte_level
+
+
 class Pieces(dict):
     """Token ids (packed uint32) by white-space separated piece of text; the tokenizer splits at white space anyway.
 
@@ -42,12 +58,14 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.plain = _is_plain(self.tokenizer)
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = array("I", self._encode(piece)).tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.older = dict(self)
@@ -55,6 +73,12 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def _encode(self, piece: str) -> list[int]:
+        """Ids of a piece. Printable ASCII passes the normaliser and the byte map as its lower case, so the model is asked directly."""
+        if self.plain and piece.isascii() and piece.isprintable() and "<|" not in piece:
+            return [t.id for part in _PARTS.findall(piece.lower()) for t in self.model.tokenize(part)]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
     def ids(self, text: str) -> np.ndarray:
         # str.split() also splits at four separators that are not white space to the tokenizer
         parts = re.split(r"[ \t\n\r\f\v]+", text) if _SEPARATORS.search(text) else text.split()
