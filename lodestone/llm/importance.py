@@ -203,17 +203,17 @@ def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     if bad := [c for c in docs.columns if c.startswith("__")]:
         raise ValueError(f"names kept for internal use: {bad}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<w: double, n: long>")
+    def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Hashes()
-        for b in batches:
-            found = [model.weigh(t.as_py(), known) for t in b.column(b.num_columns - 1)]
-            cols = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=names)
-
-    rows = docs.select("*", _tie(id_col, text_col, seed).alias("__tie"), F.col(text_col).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("__weight", "double").add("__n", "long")
-    names = schema.names
-    scored = scratch(rows.mapInArrow(run, schema), "weighed").withColumn("__key", _key(F.col("__weight"), F.col("__n"), F.col("__tie")))
+        for part in texts:
+            found = [model.weigh(t.as_py(), known) for t in part]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["w", "n"])
+
+    # only texts go to Python and only numbers come back; the other columns wait in the JVM
+    rows = docs.withColumn("__tie", _tie(id_col, text_col, seed)).withColumn("__found", weigh(F.col(text_col).cast("string")))
+    rows = rows.select(*docs.columns, "__tie", F.col("__found.w").alias("__weight"), F.col("__found.n").alias("__n"))
+    scored = scratch(rows, "weighed").withColumn("__key", _key(F.col("__weight"), F.col("__n"), F.col("__tie")))
     return scored.where(_kept(scored, model)).select(*docs.columns)
 
 
