@@ -61,6 +61,8 @@ def count(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np
         for b in batches:
             for t in b.column(0):
                 total += np.bincount(features(t.as_py() or "", known, buckets), minlength=buckets)
+        known.clear()
+        pa.default_memory_pool().release_unused()  # workers live on beyond the task
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
 
@@ -147,13 +149,11 @@ def kth_largest(keys: DataFrame, k: int, cells: int = 1024, few: int = 4096) ->
             rows = sorted(((r["key"], r["tie"]) for r in inside.select("key", "tie").collect()), reverse=True)
             return rows[min(k, n) - 1]
         width = (high - low) / cells
-        if width == 0 or low + width == low:
-            ties = inside.select("tie").distinct().count()
-            if ties == 1:
-                return low, inside.first()["tie"]
-            inside = inside.where(F.col("key") == high) if low != high else inside
-            row = inside.groupBy("tie").count().orderBy(F.desc("tie")).limit(k).agg(F.min(F.struct("tie"))).first()
-            return high, row[0]["tie"]
+        if low + width == low:  # a handful of neighbouring values at most: one of them holds the k-th
+            for r in sorted(inside.groupBy("key").count().collect(), reverse=True):
+                if k <= r["count"]:
+                    return r["key"], _kth_tie(inside.where(F.col("key") == r["key"]), k, few)
+                k -= r["count"]
         cell = F.least(F.lit(cells - 1), F.floor((F.col("key") - low) / width)).cast("int")
         above = 0
         for r in sorted(inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect(), reverse=True):
@@ -163,6 +163,23 @@ def kth_largest(keys: DataFrame, k: int, cells: int = 1024, few: int = 4096) ->
             above += r["n"]
 
 
+def _kth_tie(rows: DataFrame, k: int, few: int) -> str:
+    """The k-th largest tie, two characters at a time."""
+    prefix = ""
+    while True:
+        rows = rows.where(F.col("tie").startswith(prefix))
+        counts = sorted(rows.groupBy(F.substring("tie", len(prefix) + 1, 2).alias("c")).count().collect(), reverse=True)
+        if sum(r["count"] for r in counts) <= few:
+            return sorted((r["tie"] for r in rows.select("tie").collect()), reverse=True)[k - 1]
+        for r in counts:
+            if k <= r["count"]:
+                prefix += r["c"]
+                break
+            k -= r["count"]
+        if not r["c"] or len(prefix) >= 16:
+            return prefix
+
+
 def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., weight, n, key, kept): Gumbel top-k over all rows of docs; exactly k rows stay, but for full ties.
 
@@ -209,6 +226,7 @@ def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for part in texts:
             found = [model.weigh(t.as_py(), known) for t in part]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["w", "n"])
+        pa.default_memory_pool().release_unused()
 
     # only texts go to Python and only numbers come back; the other columns wait in the JVM
     rows = docs.withColumn("__tie", _tie(id_col, text_col, seed)).withColumn("__found", weigh(F.col(text_col).cast("string")))

@@ -33,6 +33,10 @@ SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, seq
 
 # How the tokenizer file splits lower-case ASCII, and the file's normaliser and splitter.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Letters of the Latin blocks that stand alone under composition and lower their case one by one.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+#: Bytes above ASCII as the byte-level step writes them: those that don't print get characters from 256 up.
+_BYTE_LETTERS = {b: 256 + 34 + k for k, b in enumerate(range(0x7F + 1, 0xA1))} | {0xAD: 256 + 67}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -65,7 +69,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = array("I", self._encode(piece)).tobytes()
+            ids = self._encode(piece)
         if len(piece) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.older = dict(self)
@@ -73,11 +77,22 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
-    def _encode(self, piece: str) -> list[int]:
-        """Ids of a piece. Printable ASCII passes the normaliser and the byte map as its lower case, so the model is asked directly."""
-        if self.plain and piece.isascii() and piece.isprintable() and "<|" not in piece:
-            return [t.id for part in _PARTS.findall(piece.lower()) for t in self.model.tokenize(part)]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def _encode(self, piece: str) -> bytes:
+        """Packed ids of a piece. Where normaliser and splitter are known to do no more than lower the case and part
+        letters from marks, the parts are looked up or put to the model directly."""
+        if self.plain:
+            if _LETTERS.fullmatch(piece):
+                low = piece.lower()
+                return self[low] if low != piece else self._model(low)
+            if piece[-1] in ".,;:!?" and _LETTERS.fullmatch(piece, 0, len(piece) - 1):
+                return self[piece[:-1]] + self[piece[-1]]
+            if piece.isascii() and piece.isprintable() and "<|" not in piece:
+                return b"".join(map(self._model, _PARTS.findall(piece.lower())))
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         # str.split() also splits at four separators that are not white space to the tokenizer
@@ -215,6 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if held:
             packer.shard(names, held)
         yield packer.drain()
+        pa.default_memory_pool().release_unused()  # workers live on beyond the task
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, SCHEMA)
