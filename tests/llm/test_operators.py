@@ -1,0 +1,480 @@
+"""Each operator against its plain-Python version, and its defined results in the awkward cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+
+from lodestone.llm import components, embedding_dedup, importance, line_dedup, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from lodestone.llm.hnsw import Graph
+
+DOCS = "doc_id long, text string, source string"
+
+
+def vocabulary(seed=3, n=300):
+    r = random.Random(seed)
+    return ["".join(r.choice("aeioustrnlmd") for _ in range(r.randint(2, 8))) for _ in range(n)]
+
+
+def prose(r, words, n):
+    out = [r.choice(words) for _ in range(n)]
+    for k in range(7, n, 9):
+        out[k] += r.choice([".\n", ",", ".\n", ""])
+    return " ".join(out)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Texts with exact and near copies, shared passages, nulls, blanks, long words, repeated lines."""
+    r, words = random.Random(7), vocabulary()
+    texts = [prose(r, words, r.randint(1, 220)) for _ in range(60)]
+    texts += [texts[3]] * 5 + [texts[4] + " tail", "head " + texts[4], texts[5].replace(texts[5].split()[9], "changed")]
+    passage = prose(r, words, 60)
+    texts += [prose(r, words, 20) + "\n" + passage + "\n" + prose(r, words, 20) for _ in range(6)]
+    line = "one common line of a licence that many documents share."
+    texts += [f"{line}\n{line}\n{prose(r, words, 30)}\n{line}\nsecond common line\n" for _ in range(5)]
+    texts += [None, "", "   \n\t ", "x", "ab " * 400, "é" * 150, "é" * 150, "\n" * 5, "a\x00b " * 60, "z" * 3000, "A b C", "a B c"]
+    return [(k, t, None if k % 11 == 5 else f"s{k % 4}") for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, DOCS).repartition(3)
+
+
+def awkward(spark):
+    """Null ids, repeated rows and ids, and columns whose names the operators use themselves."""
+    rows = [(None, "same text here for all of us", "s", 1, "x"), (None, "same text here for all of us", None, 2, "y"), (1, "other", "s", 3, "z"), (1, "other", "s", 3, "z"), (1, None, None, None, None), (2, "", "", 5, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, id int, key string")
+
+
+# -- shared -------------------------------------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    r = random.Random(1)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(4000, 4300)] + [(None, 3), (7, 7)]
+    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()}
+    known = {(a, b) for a, b in links if a is not None}
+    nodes = sorted({x for p in known for x in p})
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in known:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {n: root(n) for n in nodes if root(n) != n}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# -- 1 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_pii_base_matches_patterns():
+    r = random.Random(2)
+    for _ in range(20000):
+        t = "".join(r.choice("a1.@-+_ ()%9 5é") for _ in range(r.randint(0, 40)))
+        assert sorted(brute.pii(t)) == sorted(pii.base_spans(t)), t
+
+
+def test_pii_scan_is_linear():
+    for t in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "a@" * 100_000, "+1" * 100_000, "a@b." * 50_000):
+        pii.find(t)
+
+
+def test_pii_method_adds_and_base_stays():
+    far = "and so on for quite a while without any hint at all of numbers "
+    t = f"Our bank account GB82 WEST 1234 5698 7654 32, {far}please call (555) 123-4567 {far}order no 555-123-4567 {far}GB00 WEST 1234 5698 7654 32"
+    kinds = [x[0] for x in pii.find(t)]
+    assert kinds == ["iban", "local_phone"]
+    assert [x for x in pii.find("version 10.0.0.1")][0][:3] == ("ip", 8, 16)
+    assert pii.find(None) == pii.find("") == []
+    assert pii.redact("mail a@b.co now") == "mail <EMAIL> now" and pii.redact(None) is None
+
+
+def test_pii_query(spark, tmp_path):
+    rows = [(1, "x 4111 1111 1111 1111 é a@b.co +1 (555) 123-4567 and 1.2.3.4 or 300.1.1.1"), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in pii.query(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[i].spans == want
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 1, 1)
+    assert pii.find_pii(awkward(spark)).count() == 6
+    assert pii.find_pii(awkward(spark).limit(0)).count() == 0
+
+
+# -- 2 ------------------------------------------------------------------------------------------------------------------
+
+
+def clusters(seed=0):
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(40, 16))
+    v = [b + r.normal(scale=0.02, size=16) for b in base for _ in range(6)] + [r.normal(size=16) for _ in range(100)]
+    dense = [base[0] * 3 + r.normal(scale=0.1, size=16) for _ in range(90)]
+    return np.array(v + dense).astype(np.float32)
+
+
+def test_graph_finds_neighbours():
+    x = np.random.default_rng(1).normal(size=(3000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, _ = Graph(x).search(x[:300], 64)
+    best = np.argsort(-(x[:300] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids[:, :64], best, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize("shard_size", [8192, 60])
+def test_embedding_groups(spark, shard_size):
+    v = clusters()
+    rows = [(k, x.tolist(), k % 2) for k, x in enumerate(v)]
+    rows += [(1000, rows[5][1], 1), (1001, rows[5][1], 1), (1002, None, 1), (1003, [0.0] * 16, 1), (1004, [float("nan")] * 16, 1), (1005, rows[5][1], None), (1006, rows[5][1][:8], 1), (1007, [None] * 16, 0), (1008, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x.id: x for x in embedding_dedup.embedding_groups(df, shard_size=shard_size).collect()}
+    assert len(got) == len(rows)
+    fit = {i: (np.array(e, dtype=np.float64), y) for i, e, y in rows if e and y is not None and None not in e and np.isfinite(e).all() and np.any(e)}
+
+    def linked(a, b):
+        (x, p), (y, q) = fit[a], fit[b]
+        return p == q and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98
+
+    want = brute.groups(sorted(fit), linked)
+    for i, *_ in rows:
+        n = sum(linked(i, j) for j in fit if j != i) if i in fit else 0
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (n, want.get(i, i), want.get(i, i) == i), i
+
+
+def test_embedding_awkward(spark):
+    rows = [(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((x.id or -1, x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_groups(df).collect())
+    assert got == [(-1, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True)]
+    assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
+
+
+# -- 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_statistics(spark, corpus, docs):
+    for x in quality_rules.statistics(docs, keep=("doc_id",)).collect():
+        want = brute.statistics(dict((i, t) for i, t, _ in corpus)[x.doc_id])
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == want, x.doc_id
+
+
+def quality_rows():
+    r, words = random.Random(5), vocabulary()
+    good = [prose(r, words, r.randint(30, 120)) for _ in range(120)]
+    bad = [" ".join(w + "%%%" for w in prose(r, words, 60).split()) for _ in range(20)] + [" ".join(w.upper() + "!!" for w in prose(r, words, 60).split()) for _ in range(20)]
+    return good, bad
+
+
+def test_rules_learn_and_keep_clean(spark):
+    good, bad = quality_rows()
+    texts = [(k, t, k >= len(good)) for k, t in enumerate(good + bad)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts] + [(900, None), (901, "few words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if b else 1) for k, _, b in texts if k % 3] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality_rules.apply_rules(docs, labels).collect()}
+    assert all(got[k].kept != b for k, _, b in texts)
+    assert got[900].base_failed and not got[901].kept
+    rules = quality_rules.learn_rules(quality_rules.labelled_statistics(docs, labels))
+    assert rules and all(len(r) <= 3 for r in rules)
+
+
+def test_rules_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality_rules.apply_rules(awkward(spark), none)
+    assert got.count() == 6 and got.where("kept <> (not base_failed)").count() == 0
+    assert quality_rules.apply_rules(awkward(spark).limit(0), none).count() == 0
+
+
+# -- 4 ------------------------------------------------------------------------------------------------------------------
+
+
+def fill(sizes, total, weights, cap):
+    """Targets by resharing excesses until none is above its cap."""
+    target, open_ = {s: 0.0 for s in sizes}, set(sizes)
+    while True:
+        rest = total - sum(target[s] for s in sizes if s not in open_)
+        share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_} if open_ else {}
+        over = {s for s in open_ if share[s] >= cap * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = cap * sizes[s]
+        open_ -= over
+
+
+def test_mix(spark, corpus, docs):
+    got = {x.id: x for x in mixing.mix(docs).collect()}
+    size = {i: len(brute.WORD.findall(t or "")) for i, t, _ in corpus}
+    sources = sorted({s for *_, s in corpus}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in corpus if x == s) for s in sources}
+    target = fill(total, 1.5 * sum(total.values()), {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}, 2)
+    for i, _, s in corpus:
+        assert (got[i].size, got[i].source_size) == (size[i], total[s]) and got[i].target == pytest.approx(target[s])
+        assert 0 <= got[i].taken <= 2 * got[i].size
+    for s in sources:
+        assert sum(got[i].taken for i, _, x in corpus if x == s) == math.floor(target[s] + 0.5)
+    again = {x.id: x.taken for x in mixing.mix(docs.repartition(2)).collect()}
+    assert again == {i: x.taken for i, x in got.items()}
+
+
+def test_mixed_documents_carry_the_words(spark, corpus, docs):
+    taken = {x.id: x.taken for x in mixing.mix(docs).collect()}
+    out = collections.Counter()
+    whole = {i: t for i, t, _ in corpus}
+    for x in mixing.mixed_documents(docs).collect():
+        out[x.doc_id] += len(brute.WORD.findall(x.text))
+        assert whole[x.doc_id].startswith(x.text)
+    assert out == {i: n for i, n in taken.items() if n}
+
+
+def test_mix_awkward(spark):
+    rows = mixing.mix(awkward(spark)).collect()
+    assert len(rows) == 6 and all(0 <= x.taken <= 2 * x.size for x in rows)
+    blank = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], DOCS)
+    assert [(x.target, x.taken) for x in mixing.mix(blank).collect()] == [(0.0, 0), (0.0, 0)]
+    assert mixing.mix(blank.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixed_documents(blank.withColumnRenamed("source", "__x").withColumnRenamed("__x", "__source"))
+
+
+# -- 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_simhash(spark, corpus, docs):
+    fp = {i: brute.simhash(t) for i, t, _ in corpus}
+    want = brute.groups(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3)
+    for x in simhash.simhash_groups(docs).collect():
+        assert (x.fp % (1 << 64), x.component) == (fp[x.id], want[x.id])
+    kept = {x.doc_id for x in simhash.distinct_documents(docs).collect()}
+    assert kept == set(want.values())
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+def test_anchors_miss_no_pair(spark, bits):
+    r = random.Random(bits)
+    base = [r.getrandbits(64) for _ in range(60)]
+    near = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 5))) for b in base for _ in range(4)]
+    edge = [base[0] ^ 1 << 31 ^ 1 << 63 ^ 1, base[1] ^ 1 << 31, base[1] ^ 1 << 63, 0, (1 << 64) - 1]
+    fps = sorted({*base, *near, *edge})
+    rows = [(x - (1 << 64) if x >> 63 else x, k) for k, x in enumerate(fps)]
+    got = {x.rep: x.component for x in simhash.group_fingerprints(spark.createDataFrame(rows, "fp long, rep long"), bits).collect()}
+    want = brute.groups(range(len(fps)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= bits)
+    assert got == {k: g for k, g in want.items() if k != g}
+
+
+def test_simhash_awkward(spark):
+    got = sorted((x.id or -1, x.component or -1) for x in simhash.simhash_groups(awkward(spark)).collect())
+    assert got == [(-1, -1), (-1, -1), (1, 1), (1, 1), (1, 1), (2, 1)]
+    assert simhash.distinct_documents(awkward(spark)).count() == 3
+    assert simhash.simhash_groups(awkward(spark).limit(0)).count() == 0
+
+
+# -- 6 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_importance(spark):
+    good, bad = quality_rows()
+    texts = good + bad
+    docs = spark.createDataFrame([*enumerate(texts), (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < len(good))) for k in range(len(texts)) if k % 2] + [(None, 1)], "doc_id long, quality int")
+    model = importance.train(docs, labels)
+    rows = {x.id: x for x in importance.resample(docs, model).collect()}
+    assert all(rows[k].kept == (k < len(good)) for k in range(len(texts)))
+    assert not rows[900].kept and not rows[901].kept
+    k = sum(x.n > 0 and x.weight >= model.threshold for x in rows.values())
+    ranked = sorted(rows.values(), key=lambda x: -x.key)
+    assert {x.id for x in ranked[:k]} == {x.id for x in rows.values() if x.kept}
+    assert {x.doc_id for x in importance.kept_documents(docs, model).collect()} == {x.id for x in rows.values() if x.kept}
+
+
+def test_importance_counts_all_texts(spark, corpus, docs):
+    known, want = importance.Hashes(), np.zeros(importance.BUCKETS, dtype=int)
+    for _, t, _ in corpus:
+        want += np.bincount(importance.features(t or "", known), minlength=importance.BUCKETS)
+    assert (importance.count(docs) == want).all()
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 500, 1000])
+def test_kth_largest(spark, k):
+    r = random.Random(k)
+    rows = [(r.choice([1.5, 2.5, r.random() * 1e6, -1e300]), f"{r.randrange(1 << 30):016x}") for _ in range(1000)]
+    got = importance.kth_largest(spark.createDataFrame(rows, "key double, tie string"), k, cells=8, few=10)
+    assert got == (sorted(rows, reverse=True)[k - 1] if k else None)
+    same = [(1.0, f"{r.randrange(40):016x}") for _ in range(300)] + [(2.0, "f" * 16)] * 30
+    got = importance.kth_largest(spark.createDataFrame(same, "key double, tie string"), min(k, 330), cells=8, few=10)
+    assert got == (sorted(same, reverse=True)[min(k, 330) - 1] if k else None)
+
+
+def test_importance_awkward(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    model = importance.train(awkward(spark), none)
+    rows = importance.resample(awkward(spark), model).collect()
+    assert len(rows) == 6 and [x.kept for x in rows if x.n] == [True] * 4
+    assert importance.resample(awkward(spark).limit(0), model).count() == 0
+    assert importance.kept_documents(awkward(spark), model).columns == awkward(spark).columns
+
+
+# -- 7 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    r, words = random.Random(9), vocabulary()
+    texts = []
+    for k in range(400):
+        t = prose(r, words, r.randint(20, 80)).split()
+        if k % 5 == 0:
+            t[r.randrange(len(t))] = r.choice(["wretchfool", "vilescum", "nastyclod"])
+        texts.append((k, " ".join(t), int(k % 5 == 0)))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts] + [(1000, None), (None, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in texts] + [(None, 1), (1000, None)], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.training_rows(docs, labels))
+    got = {x.id: x.score for x in toxicity.score(docs, model).collect()}
+    held = [(k, y) for k, _, y in texts if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert np.mean([(got[k] >= toxicity.THRESHOLD) == y for k, y in held]) > 0.97
+    assert 0 < got[1000] == got[None] < 0.3
+    train_ids = {k for k, _, _ in texts} - {k for k, _ in held}
+    assert toxicity.training_rows(docs, labels).count() == len(train_ids)
+
+
+def test_toxicity_blocks_do_not_matter():
+    model = toxicity.Model(np.arange(0, 1 << toxicity.BITS, 7), np.linspace(-1, 1, len(range(0, 1 << toxicity.BITS, 7))), 0.1)
+    texts = ["", "abc", "x" * 300_000, "Some text é", "", "tail"]
+    where = model.table()
+    together = model.scores(texts, where)
+    assert np.allclose(together, [model.scores([t], where)[0] for t in texts])
+    found = {(t, int(b)) for t, bs in enumerate(toxicity.present(texts)) for b in bs}
+    assert found == {(t, int(b)) for t, x in enumerate(texts) for b in toxicity.present([x])[0]}
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.training_rows(awkward(spark), none))
+    assert toxicity.score(awkward(spark), model).where("score = 0.5").count() == 6
+    assert toxicity.score(awkward(spark).limit(0), model).count() == 0
+
+
+# -- 8 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("window", "shard"), [(2048, 512), (64, 7)])
+def test_packing(spark, corpus, docs, window, shard):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = packing.pack(docs, packing.tokenizer_path(), window=window, shard_docs=shard, with_ids=True).collect()
+    for i, t, _ in corpus:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        at = 0
+        for p in sorted((x for x in rows if x.id == i), key=lambda x: x.start):
+            part = ids[at : at + p.length]
+            assert (p.start, p.doc_tokens, p.ids_crc32, p.text_ids) == (at, len(ids), zlib.crc32(part.tobytes()), part.tolist())
+            at += p.length
+        assert at == len(ids)
+    sequences = collections.defaultdict(list)
+    for x in rows:
+        sequences[x.sequence_id].append((x.offset, x.length))
+    short = 0
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert (total := sum(n for _, n in parts)) <= window
+        short += total < window
+    assert short <= docs.rdd.getNumPartitions()
+
+
+def test_packing_prefers_related_documents():
+    a, b = [np.array(x, dtype="<u4") for x in ([1, 2, 3, 4, 5, 6], [9, 10, 11, 12, 13, 14])]
+    shard = [a, b, np.array([20, 21, 22, 23]), a[:4], b[:4], np.array([30, 31, 32, 33]), np.array([40, 41, 42])]
+    packer = packing.Packer(0, window=10)
+    packer.shard(list(range(7)), shard)
+    assert [x[0] for x in packer.rows[:2]] == [0, 3]
+
+
+def test_packing_pieces_equal_the_tokenizer():
+    pieces, r = packing.Pieces(packing.tokenizer_path()), random.Random(8)
+    assert pieces.plain
+    letters = "aBcé'ÀßñŒſıİŉµªstremvld19_-.,<|>&%$#!~\x7f\x01你\u0301"
+    for _ in range(20000):
+        t = "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+        want = pieces.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(pieces._encode(t), "<u4").tolist() == want, t
+
+
+def test_packing_separators():
+    assert packing.Pieces(packing.tokenizer_path()).ids("a\x1cb c\x85d").tolist() == packing.Pieces(packing.tokenizer_path()).tokenizer.encode("a\x1cb c\x85d", add_special_tokens=False).ids
+
+
+def test_packing_awkward(spark):
+    assert packing.pack(awkward(spark), packing.tokenizer_path()).count() == 6
+    assert packing.pack(awkward(spark).limit(0), packing.tokenizer_path()).count() == 0
+
+
+# -- 9 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most_sorted", [4096, 1])
+def test_substrings(spark, corpus, docs, monkeypatch, most_sorted):
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (100, 40, most_sorted))
+    want = brute.substrings([(i, t) for i, t, _ in corpus])
+    for x in substring_dedup.dedup_substrings(docs).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.id], x.id
+
+
+def test_substring_pieces(monkeypatch):
+    """A text parsed in pieces has the triggers that it has as a whole."""
+    r = random.Random(4)
+    data = bytes(r.choice(b"abcd") for _ in range(5000)) + b"a" * 500
+    whole = substring_dedup.parse(data)
+    monkeypatch.setattr(substring_dedup, "PIECE", 701)
+    first, count, g = substring_dedup.parse(data)
+    each = {}
+    for a, n, h in zip(first.tolist(), count.tolist(), g.tolist(), strict=True):
+        each |= {k: h for k in range(a, a + n)}
+    assert each == {k: h for a, n, h in zip(*map(np.ndarray.tolist, whole), strict=True) for k in range(a, a + n)}
+    assert int(count.max()) < 1 << substring_dedup.COUNT_BITS
+
+
+def test_substrings_awkward(spark):
+    long = "repeat this very text over and over again until it is long enough to be seen as one string of a hundred bytes. "
+    rows = [(None, long), (None, long), (3, long), (3, long), (3, "x" + long * 2), (4, long), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.id or -1, x.n_bytes, x.n_removed) for x in substring_dedup.dedup_substrings(df).collect())
+    n = len(long)
+    # equal rows are one document: neither comes first; the longer text of id 3 starts one byte later
+    assert got == [(-1, n, n), (-1, n, n), (3, n, 0), (3, n, 0), (3, 2 * n + 1, 2 * n), (4, n, n), (5, 0, 0)]
+    assert substring_dedup.dedup_substrings(df.limit(0)).count() == 0
+    kept = substring_dedup.dedup_substrings(df, with_text=True).where("id = 4").first().kept
+    assert bytes(kept) == b""
+
+
+# -- 10 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("window", "long_words"), [(2, 50), (3, 4), (1, 9)])
+def test_lines(spark, corpus, docs, window, long_words):
+    want = brute.lines([(i, t) for i, t, _ in corpus], window, long_words)
+    for x in line_dedup.dedup_lines(docs, window=window, long_words=long_words).collect():
+        assert x.text == want[x.doc_id], x.doc_id
+
+
+def test_lines_awkward(spark):
+    rows = [(None, "a b\nc d\ne"), (None, "a b\nc d\ne"), (1, "a b\nc d\nz"), (2, "\na b\n\nc d\n"), (3, None), (4, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id or 99, x.text, x.n_lines_removed) for x in line_dedup.dedup_lines(df).collect()), key=str)
+    assert got == sorted([(99, "e", 2), (99, "e", 2), (1, "a b\nc d\nz", 0), (2, "\n\n", 2), (3, None, 0), (4, "a b", 0)], key=str)
+    assert line_dedup.dedup_lines(awkward(spark)).columns == [*awkward(spark).columns, "n_lines_removed"]
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df.withColumn("__row", df["text"]))
