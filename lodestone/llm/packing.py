@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 512, 2_000_000
 K1, B = 1.2, 0.75
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_ids array<int>"
 
 
@@ -42,9 +42,9 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 def _is_plain(tokenizer) -> bool:
     """Whether a tokenizer treats text as _PARTS takes it to; any other is asked for every piece."""
-    made = json.loads(tokenizer.to_str())
-    steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
-    splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    normalizer, splitter = [json.loads(x.__getstate__()) if x else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    steps = [x["type"] for x in normalizer.get("normalizers", [])]
+    splits = splitter.get("pretokenizers", [{}])
     byte_level = splits[-1].get("type") == "ByteLevel" and not splits[-1].get("add_prefix_space") and not splits[-1].get("use_regex")
     return steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("pattern") == {"Regex": _SPLIT} and byte_level
 
@@ -55,7 +55,7 @@ class Pieces(dict):
     Two generations of at most LIMIT pieces are kept: what is used again moves to the younger one.
     """
 
-    LIMIT, LONGEST = 200_000, 40
+    LIMIT, LONGEST = 250_000, 40
 
     def __init__(self, path: str):
         super().__init__()
@@ -96,7 +96,7 @@ class Pieces(dict):
 
     def ids(self, text: str) -> np.ndarray:
         # str.split() also splits at four separators that are not white space to the tokenizer
-        parts = re.split(r"[ \t\n\r\f\v]+", text) if _SEPARATORS.search(text) else text.split()
+        parts = re.split(r"[ \t\n\r\f\v]+", text) if any(c in text for c in _SEPARATORS) else text.split()
         return np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype="<u4")
 
 
@@ -136,9 +136,8 @@ class ShardIndex:
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Score of every document of the shard for a query of distinct terms; used ones are at -1."""
-        at = np.searchsorted(self.vocabulary, terms)
-        at = at[at < len(self.vocabulary)] if len(at) else at
-        at = at[np.isin(self.vocabulary[at], terms, assume_unique=True) & self.useful[at]] if len(at) else at
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        at = at[(self.vocabulary[at] == terms) & self.useful[at]]
         sizes = self.last[at] - self.first[at]
         total = int(sizes.sum())
         found = np.zeros(len(self.unused))
@@ -169,7 +168,7 @@ class Packer:
         while start < len(ids):
             n = min(self.window - self.fill, len(ids) - start)
             part = ids[start : start + n]
-            self.rows.append((doc_id, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), self.first_sequence + self.sequence, self.fill, part if self.with_ids else None))
+            self.rows.append((doc_id, start, n, zlib.crc32(part.astype("<u4", copy=False)), len(ids), self.first_sequence + self.sequence, self.fill, part if self.with_ids else None))
             start, self.fill = start + n, self.fill + n
             if self.fill == self.window:
                 self.sequence, self.fill, self.seed, moved = self.sequence + 1, 0, terms, True
