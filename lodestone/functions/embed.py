@@ -17,6 +17,7 @@ ERR_INPUT, ERR_INFERENCE = "ERR_INVALID_INPUT", "ERR_INFERENCE_FAILED"
 #: Takes texts or image bytes, returns one vector each.
 Encode = Callable[[list], np.ndarray]
 RESULT = "task_id string, ok boolean, vector array<float>, error_code string, error_message string"
+RESULT_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -78,6 +79,7 @@ class EmbeddingEngine:
                     if mode not in loaded:
                         loaded[mode] = loaders[mode]()
                     rows.append({"task_id": task_id} | one(loaded[mode], mode, image if mode == "image" else text))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+                rows = [dict.fromkeys(RESULT_COLUMNS) | r for r in rows]
+                yield pd.DataFrame(rows, columns=RESULT_COLUMNS, dtype=object)
 
         return tasks.select("task_id", "mode", "text", "image").mapInPandas(run, RESULT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .hybrid import fuse
+from .hybrid import ranked, united
 
 #: (vector weight, keyword weight) settings of a sweep.
 SWEEP = ((0.7, 0.3), (0.5, 0.5), (0.4, 0.6), (0.3, 0.7), (0.2, 0.8), (0.1, 0.9))
@@ -26,12 +26,16 @@ def metrics(ranks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def weight_sweep(vector: DataFrame, keyword: DataFrame, truth: DataFrame, top_k: int = 10, settings: tuple = SWEEP) -> DataFrame:
-    """One row of metrics per weight setting, from one pair of candidate lists."""
-    parts = None
-    for vw, kw in settings:
-        ranks = first_relevant(fuse(vector, keyword, top_k, vw, kw), truth).select(F.lit(vw).alias("vector_weight"), F.lit(kw).alias("keyword_weight"), "qid", "rank")
-        parts = ranks if parts is None else parts.unionByName(ranks)
-    return metrics(parts, ("vector_weight", "keyword_weight"))
+    """One row of metrics per weight setting; candidates are found and united once for all settings."""
+    for setting in settings:
+        scoring.check_weights(*setting)
+    weights = F.array(*[F.struct(F.lit(v).alias("vector_weight"), F.lit(k).alias("keyword_weight"), F.lit(v / (v + k)).alias("v"), F.lit(k / (v + k)).alias("k")) for v, k in settings])
+    both = united(vector, keyword).withColumn("w", F.explode(weights)).select("*", "w.*")
+    final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") * F.col("norm_vector") + F.col("k") * F.col("norm_keyword")))
+    by = ("vector_weight", "keyword_weight", "qid")
+    hits = ranked(both.withColumn("final_score", final), top_k, by).join(truth, ["qid", "id"]).groupBy(*by).agg(F.min("rank").alias("rank"))
+    asked = truth.select("qid").distinct().withColumn("w", F.explode(weights)).select("qid", "w.vector_weight", "w.keyword_weight")
+    return metrics(asked.join(hits, list(by), "left"), ("vector_weight", "keyword_weight"))
 
 
 def pairwise_ranks(pairs: DataFrame) -> DataFrame:

@@ -14,21 +14,26 @@ from .vector_store import knn
 TOP_K, MULTIPLIER = 10, 5
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, top_k: int, vector_weight: float = scoring.VECTOR_WEIGHT, keyword_weight: float = scoring.KEYWORD_WEIGHT) -> DataFrame:
-    """One ranking from vector (qid, id, vector_score) and keyword (qid, id, keyword_score) candidates.
-
-    Each branch is normalised over its own, already cut candidates. Final score, then normalised keyword and vector
-    score, then id decide the order.
-    """
-    scoring.check_weights(vector_weight, keyword_weight)
+def united(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Candidates of both branches, by a full outer join, with scores normalised over each branch's own cut list."""
     v = scoring.min_max(vector.select("qid", "id", "vector_score"), "vector_score", ("qid",), "norm_vector")
     k = scoring.min_max(keyword.select("qid", "id", "keyword_score"), "keyword_score", ("qid",), "norm_keyword")
     both = v.join(k, ["qid", "id"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    both = both.select("qid", "id", zero("vector_score"), zero("norm_vector"), zero("keyword_score"), zero("norm_keyword"), F.col("vector_score").isNotNull().alias("found_by_vector"), F.col("keyword_score").isNotNull().alias("found_by_keyword"))
-    both = both.withColumn("final_score", scoring.fuse_scores(F.col("norm_vector"), F.col("norm_keyword"), vector_weight, keyword_weight))
-    order = Window.partitionBy("qid").orderBy(*[F.round(c, 9).desc() for c in ("final_score", "norm_keyword", "norm_vector")], "id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return both.select("qid", "id", zero("vector_score"), zero("norm_vector"), zero("keyword_score"), zero("norm_keyword"), F.col("vector_score").isNotNull().alias("found_by_vector"), F.col("keyword_score").isNotNull().alias("found_by_keyword"))
+
+
+def ranked(scored: DataFrame, top_k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """The first top_k of each group by final score, then normalised keyword and vector score, then id."""
+    order = Window.partitionBy(*by).orderBy(*[F.round(c, 9).desc() for c in ("final_score", "norm_keyword", "norm_vector")], "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, top_k: int, vector_weight: float = scoring.VECTOR_WEIGHT, keyword_weight: float = scoring.KEYWORD_WEIGHT) -> DataFrame:
+    """One ranking from vector (qid, id, vector_score) and keyword (qid, id, keyword_score) candidates."""
+    scoring.check_weights(vector_weight, keyword_weight)
+    final = scoring.fuse_scores(F.col("norm_vector"), F.col("norm_keyword"), vector_weight, keyword_weight)
+    return ranked(united(vector, keyword).withColumn("final_score", final), top_k)
 
 
 @dataclass

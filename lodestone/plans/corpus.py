@@ -133,6 +133,9 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodestone").rstrip("/")
 
 
-def stream_folder(sf_dir: str) -> str:
-    """Folder or file of the documents table, as a stream source takes it."""
-    return f"{sf_dir}/documents.parquet"
+def stream_source(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(folder, name pattern) under which a stream finds a table that is a folder of files or a single file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path, "*.parquet"
+    return path.rpartition("/")[0], p.getName()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators.keyword_index import KeywordIndex, matches
 from ..operators.vector_store import knn
 from ..sources import files
 from . import corpus as C
-from .text_queries import index
+from .text_queries import index, written_index
 
 Q: dict = {}
 S: dict = {}
@@ -29,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def retriever(spark, sf) -> HybridRetriever:
-    return HybridRetriever(index(spark, sf), C.vectors(spark, sf).select("id", "embedding"))
+    return HybridRetriever(written_index(spark, sf), C.vectors(spark, sf).select("id", "embedding"))
 
 
 def rounded(df, *columns):
@@ -44,7 +46,7 @@ TEXT_ONLY = "(select kw.* from kw join records using (id) where data_type = 'tex
 
 @query("keyword_topk", f"with {KW} select qid, id, round(score, 6) as keyword_score, rank::int as rank from {C.sql_top('kw', 'score', 50)}")
 def _(spark, sf):
-    return rounded(index(spark, sf).search(C.queries(spark, sf), 50), "keyword_score")
+    return rounded(written_index(spark, sf).search(C.queries(spark, sf), 50), "keyword_score")
 
 
 def _filtered_sql(where: str, k: int) -> str:
@@ -69,9 +71,9 @@ def _(spark, sf):
 
 @query("keyword_frequent_words", f"with {C.sql_keyword('tok in (select tok from hf)', f', hf as (select tok from freq where df / (select count(*) from records) >= 0.3 and not list_contains({C.sql_list(policy.lexicon.NEVER_FILTER)}, tok))')} select qid, id, round(score, 6) as keyword_score, rank::int as rank from {C.sql_top('kw', 'score', 10)}")
 def _(spark, sf):
-    i = index(spark, sf)
+    i = written_index(spark, sf)
     words = policy.FrequentWords(i.high_frequency_words(0.3).select("tok"))
-    return rounded(KeywordIndex(i.docs, words).search(C.queries(spark, sf), 10), "keyword_score")
+    return rounded(KeywordIndex(i.docs, words, i.folder).search(C.queries(spark, sf), 10), "keyword_score")
 
 
 @query("metadata_filter", f"with {C.RECORDS} select id from records where data_type = 'text' and lang = 'fr'")
@@ -113,7 +115,7 @@ def _(spark, sf):
     return _pairs(spark, sf).select("vec_id", F.round(scoring.distance_score(d), 6).alias("score"))
 
 
-@query("l2_normalize", f"select vec_id, list_transform(x, lambda v: round((v / sqrt({DOT('x', 'x')}))::float::double, 4)) as unit from (select vec_id, list_transform(embedding::double[], lambda v: v * 3 + 0.25) as x from embeddings)")
+@query("l2_normalize", f"select vec_id, list_transform(x, lambda v: round((v / sqrt({DOT('x', 'x')}))::float::double, 4) + 0) as unit from (select vec_id, list_transform(embedding::double[], lambda v: v * 3 + 0.25) as x from embeddings)")
 def _(spark, sf):
     moved = F.transform("embedding", lambda v: v.cast("double") * 3 + 0.25)
     unit = F.transform(scoring.l2_normalize(moved), lambda v: F.round(v.cast("double"), 4))
@@ -148,7 +150,7 @@ def _(spark, sf):
     return rounded(knn(C.vectors(spark, sf).where("label = 3"), _searched(spark, sf), 10), "distance", "vector_score")
 
 
-@query("knn_image_space", _knn_sql("vec_id % 10 = 9", 5))
+@query("knn_image_space", _knn_sql("vec_id % 10 = 9 and vec_id in (select doc_id from documents)", 5))
 def _(spark, sf):
     r = HybridRetriever(index(spark, sf), C.vectors(spark, sf).select("id", "embedding"))
     return rounded(r.by_embedding(_searched(spark, sf), 5, {"data_type": "image"}), "distance", "vector_score")
@@ -168,7 +170,7 @@ def _scaled(s: str) -> str:
 
 @query("minmax_keyword", f"with {KW} select qid, id, round({_scaled('score')}, 6) as norm_keyword from {C.sql_top('kw', 'score', 50)}")
 def _(spark, sf):
-    r = scoring.min_max(index(spark, sf).search(C.queries(spark, sf), 50), "keyword_score", ("qid",), "norm_keyword")
+    r = scoring.min_max(written_index(spark, sf).search(C.queries(spark, sf), 50), "keyword_score", ("qid",), "norm_keyword")
     return rounded(r.select("qid", "id", "norm_keyword"), "norm_keyword")
 
 
@@ -216,7 +218,7 @@ def _(spark, sf):
 
 @query("hybrid_multimodal", f"with {KW}, {C.KNN.strip()}, {C.sql_fused(VTOP, KTOP, 5, 0.5, 0.5)} select {OUT} from fused")
 def _(spark, sf):
-    r = HybridRetriever(index(spark, sf), C.vectors(spark, sf).select("id", "embedding"), 0.5, 0.5, 10)
+    r = HybridRetriever(written_index(spark, sf), C.vectors(spark, sf).select("id", "embedding"), 0.5, 0.5, 10)
     return rounded(r.search_multimodal(C.queries(spark, sf), C.query_vectors(spark, sf), 5), *SCORES)
 
 
@@ -234,9 +236,8 @@ METRICS = "count(*) as n_queries, round(avg((coalesce(rank, 1000) <= 1)::int), 6
 MEASURES = ("recall_at_1", "recall_at_5", "recall_at_10", "mrr")
 
 
-def truth(spark, sf):
+def truth(spark, sf, i):
     """(qid, id): documents that hold a benchmark passage; found among those that hold its rarest token."""
-    i = index(spark, sf)
     q = C.queries(spark, sf).select("qid", text.normalize_text(F.col("query")).alias("qnorm"))
     toks = q.select("qid", F.explode(F.array_distinct(text.split_tokens(F.col("qnorm")))).alias("tok"))
     df = toks.join(i.document_frequency(), "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -258,14 +259,16 @@ def _ranks(name: str) -> str:
 
 @query("recall_mrr", f"with {FUSED}, {TRUTH} select {METRICS} from {_ranks('fused')}")
 def _(spark, sf):
-    r = retriever(spark, sf).search(C.queries(spark, sf), C.query_vectors(spark, sf))
-    return rounded(evaluate.metrics(evaluate.first_relevant(r, truth(spark, sf))), *MEASURES)
+    r = retriever(spark, sf)
+    found = r.search(C.queries(spark, sf), C.query_vectors(spark, sf))
+    return rounded(evaluate.metrics(evaluate.first_relevant(found, truth(spark, sf, r.index))), *MEASURES)
 
 
 @query("recall_mrr_keyword", f"with {KW}, {TRUTH} select {METRICS} from {_ranks(KTOP)}")
 def _(spark, sf):
-    r = index(spark, sf).search(C.queries(spark, sf), 50)
-    return rounded(evaluate.metrics(evaluate.first_relevant(r, truth(spark, sf))), *MEASURES)
+    i = written_index(spark, sf)
+    found = i.search(C.queries(spark, sf), 50)
+    return rounded(evaluate.metrics(evaluate.first_relevant(found, truth(spark, sf, i))), *MEASURES)
 
 
 SWEEPS = ", ".join(C.sql_fused("v50", "k50", 10, a, b, f"f{n}") for n, (a, b) in enumerate(evaluate.SWEEP))
@@ -278,7 +281,7 @@ SWEEP_SQL = f"with {KW}, {C.KNN.strip()}, {TRUTH}, v50 as {VTOP}, k50 as {KTOP},
 def _(spark, sf):
     r = retriever(spark, sf)
     k, v = r.keyword(C.queries(spark, sf), 50), r.by_embedding(C.query_vectors(spark, sf), 50)
-    return rounded(evaluate.weight_sweep(v, k, truth(spark, sf)), *MEASURES)
+    return rounded(evaluate.weight_sweep(v, k, truth(spark, sf, r.index)), *MEASURES)
 
 
 @query("pairwise_eval", f"""with h as (select a.vec_id as qid, a.label, list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda z: z[1] + 1.5 * z[2]) as x from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0),
@@ -353,14 +356,12 @@ def _(spark, sf):
 @query("streaming_ingest")
 def _(spark, sf):
     """A finite stream of the documents through chunking and upsert: equals the batch chunking (see the tests)."""
-    import uuid
-
     from ..sources.versioned import VersionedTable
     from ..streaming import ingest
 
     base = f"{C.shared_dir(spark)}/lodestone-stream-{uuid.uuid4().hex}"
-    schema = C.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(C.stream_folder(sf))
+    folder, names = C.stream_source(spark, f"{sf}/documents.parquet")
+    stream = spark.readStream.schema(C.table(spark, sf, "documents").schema).option("pathGlobFilter", names).parquet(folder)
     docs = stream.select(F.concat_ws("/", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
     table = VersionedTable(spark, f"{base}/chunks", ingest.CHUNKS)
     ingest.ingest(docs, table, f"{base}/checkpoint").awaitTermination()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import embed, policy, scoring, text, tokenizers
@@ -31,6 +33,11 @@ def index(spark, sf):
     return KeywordIndex(C.records(spark, sf))
 
 
+def written_index(spark, sf):
+    """The index with its tables in the shared folder, for queries that read them several times."""
+    return index(spark, sf).written(f"{C.shared_dir(spark)}/lodestone-index-{uuid.uuid4().hex}")
+
+
 @query("normalize_text", f"select doc_id, {C.sql_norm('text')} as norm from documents")
 def _(spark, sf):
     return documents(spark, sf).select("doc_id", text.normalize_text(F.col("text")).alias("norm"))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
@@ -74,7 +74,7 @@ def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr
     """
 
     def one(path: str, kind: str, data: bytes) -> dict:
-        row = {"path": path, "is_success": True, "file_type": kind}
+        row = dict.fromkeys(columns) | {"path": path, "is_success": True, "file_type": kind}
         try:
             if kind == "txt":
                 row["extracted_text"] = data.decode("utf-8")
@@ -102,7 +102,7 @@ def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf_batch in batches:
             rows = [one(*x) for x in zip(pdf_batch["path"], pdf_batch["kind"], pdf_batch["content"], strict=True)]
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=columns, dtype=object)
             yield out.astype({"page_count": "Int32", "width": "Int32", "height": "Int32"})
 
     return files.select("path", file_type(F.col("path")).alias("kind"), "content").mapInPandas(run, RESULT)
@@ -113,16 +113,19 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Paths that do not exist stay, with exists false.
     """
-    asked = spark.createDataFrame(list(enumerate(paths)), "position int, path string")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    there = [p for p in paths if fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(p))]
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.read.format("binaryFile").load(there) if there else spark.createDataFrame([], schema)
+    fs_path, rows = spark._jvm.org.apache.hadoop.fs.Path, []
+    for n, p in enumerate(paths):
+        fs = fs_path(p).getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(fs_path(p)) if fs.exists(fs_path(p)) else None
+        rows.append((n, p, status is not None, status and status.getLen(), status and status.getModificationTime()))
+    asked = spark.createDataFrame(rows, "position int, path string, exists boolean, file_size long, modified long")
+    full = [p for _, p, _, size, _ in rows if size]  # the reader passes over files of length 0
+    found = spark.read.format("binaryFile").load(full) if full else spark.createDataFrame([], "path string, content binary")
     plain = F.regexp_replace("path", "^file:/+", "/")
-    found = found.select(plain.alias("key"), "modificationTime", "length", "content")
-    joined = asked.join(found, F.regexp_replace("path", "^file:/+", "/") == F.col("key"), "left")
-    iso = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    return joined.select("position", "path", F.col("key").isNotNull().alias("exists"), "content", base_name(F.col("path")).alias("file_name"), F.col("length").alias("file_size"), iso.alias("last_modified"))
+    joined = asked.join(found.select(plain.alias("key"), "content"), plain == F.col("key"), "left")
+    content = F.when(F.col("exists"), F.coalesce("content", F.lit(b"")))
+    iso = F.date_format(F.timestamp_millis("modified"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return joined.select("position", "path", "exists", content.alias("content"), base_name(F.col("path")).alias("file_name"), "file_size", iso.alias("last_modified"))
 
 
 def parse_files(spark: SparkSession, paths: list[str], **parsers) -> DataFrame:
@@ -140,7 +143,6 @@ def parse_files(spark: SparkSession, paths: list[str], **parsers) -> DataFrame:
 
 
 def batch_progress(results: DataFrame) -> DataFrame:
-    """Running counts in input order: (position, path, processed_count, total_count, is_success)."""
-    n = F.row_number().over(Window.orderBy("position"))  # one event per file of a picked batch, in order
+    """Running counts in input order: (position, path, processed_count, total_count, is_success); positions count from 0."""
     total = results.agg(F.count("*").alias("n")).scalar()
-    return results.select("position", "path", n.cast("long").alias("processed_count"), total.alias("total_count"), "is_success")
+    return results.select("position", "path", (F.col("position") + 1).cast("long").alias("processed_count"), total.alias("total_count"), "is_success")
