@@ -1,10 +1,14 @@
 """Lexical retrieval packing: a BM25 inverted index per shard supplies each seed document's unused neighbours.
 
-A task reads its partition in shards of at most `shard_docs` documents (and about `shard_tokens` tokens), tokenizes a
-shard once, indexes its token counts and packs it: the document that opens a window is its seed; the seed's
-best-scoring unused documents of the shard follow until the window is full. A document that overlaps the end is cut,
-and what is left of it seeds the next window, so only a task's last sequence can need padding. An open window is
-carried from shard to shard. Nothing is shuffled; a lost task is packed again the same way from its partition.
+One pass tokenizes all documents, writes their ids with a routing key and counts document frequencies and tokens, so
+that BM25 has the statistics of the whole corpus. The key is a document's KEY_TERMS least term hashes in order: sets of
+terms that resemble each other are likely to begin with the same ones. All rows are range-partitioned and sorted by key,
+then position, so that copies and related documents meet wherever they were read, and a key with very many documents is
+spread over several tasks. A task then takes its rows in shards of at most `shard_docs` documents (and about
+SHARD_TOKENS tokens), indexes their token counts and packs them: the document that opens a window is its seed; the
+seed's best-scoring unused documents of the shard follow until the window is full. A document that overlaps the end is
+cut, and what is left of it seeds the next window, so only a task's last sequence can need padding. An open window is
+carried from shard to shard. A seed sees its shard only: what resembles it under another key is not retrieved.
 """
 
 from __future__ import annotations
@@ -24,9 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 512, 2_000_000
 K1, B = 1.2, 0.75
+KEY_TERMS = 8
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_ids array<int>"
 
@@ -49,6 +56,13 @@ def _is_plain(tokenizer) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("pattern") == {"Regex": _SPLIT} and byte_level
 
 
+def forget_pieces() -> None:
+    """Free the caches of this Python worker: it lives on into stages that tokenize nothing."""
+    kept = sys.modules.get("_lodestone_worker")
+    if kept:
+        kept.__dict__.get("pieces", {}).clear()
+
+
 class Pieces(dict):
     """Token ids (packed uint32) by white-space separated piece of text; the tokenizer splits at white space anyway.
 
@@ -109,10 +123,41 @@ def worker_pieces(path: str) -> Pieces:
     return known[path]
 
 
+def routing_key(terms: np.ndarray) -> bytes:
+    """The least hashes of a document's distinct terms, in order, as bytes that sort the same way."""
+    h = terms.astype(np.uint64) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h = (h >> np.uint64(32)).astype(">u4")
+    if len(h) > KEY_TERMS:
+        h = np.partition(h.astype(np.uint32), KEY_TERMS - 1)[:KEY_TERMS].astype(">u4")
+    return np.sort(h).tobytes()
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all documents: their number, their tokens, and in how many of them each term lies."""
+
+    n_docs: int
+    n_tokens: int
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        terms = np.concatenate([np.unique(ids) for ids in docs])
+        return cls(len(docs), sum(map(len, docs)), np.bincount(terms))
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        """Terms in more than half of the documents carry no weight."""
+        df = self.df[terms]
+        return np.maximum(0.0, np.log((self.n_docs - df + 0.5) / (df + 0.5)))
+
+
 class ShardIndex:
-    """BM25 over the documents of a shard; terms in more than half of them carry no weight."""
+    """BM25 over the documents of a shard with the statistics of the corpus, or of the shard where none are given."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Statistics | None = None):
+        corpus = corpus or Statistics.of(docs)
         terms, counts, owners = [], [], []
         self.terms = []
         for k, ids in enumerate(docs):
@@ -127,9 +172,9 @@ class ShardIndex:
         self.vocabulary, self.first = np.unique(term, return_index=True)
         df = np.diff(np.append(self.first, len(term)))
         self.last = self.first + df
-        idf = np.maximum(0.0, np.log((len(docs) - df + 0.5) / (df + 0.5)))
+        idf = corpus.idf(self.vocabulary)
         length = np.array([max(1, len(x)) for x in docs], dtype=float)
-        norm = K1 * (1 - B + B * length / length.mean())
+        norm = K1 * (1 - B + B * length * corpus.n_docs / max(1, corpus.n_tokens))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.owner])
         self.useful = idf > 0
         self.unused = np.ones(len(docs), dtype=bool)
@@ -174,8 +219,8 @@ class Packer:
                 self.sequence, self.fill, self.seed, moved = self.sequence + 1, 0, terms, True
         return moved
 
-    def shard(self, names: list[int | None], docs: list[np.ndarray]) -> None:
-        index = ShardIndex(docs)
+    def shard(self, names: list[int | None], docs: list[np.ndarray], corpus: Statistics | None = None) -> None:
+        index = ShardIndex(docs, corpus)
         scores, nxt = None, 0
         for _ in docs:
             if scores is None and self.fill:
@@ -203,36 +248,96 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
 
 
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(id, pos, n, key, ids) for every row of docs of (id, text), and one row of counts for every task that had rows.
+
+    ids are little-endian, two bytes each where a document's fit, else four. A row of counts has pos -1, the number of
+    documents as id and that of tokens as n, the distinct terms as key and their document frequencies as ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = worker_pieces(tokenizer)
+        end = np.array([end_id], dtype="<u4")
+        first, n_docs, n_tokens, df = TaskContext.get().partitionId() << 40, 0, 0, np.zeros(1 << 16, dtype=np.int64)
+        kinds, names = [pa.int64()] * 3 + [pa.binary()] * 2, ["id", "pos", "n", "key", "ids"]
+        rows = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+        for b in batches:
+            sizes, keys, held = [], [], []
+            for text in b.column(1):
+                own = pieces.ids(text.as_py() or "")
+                terms = np.unique(own)
+                largest = max(int(terms.max(initial=0)), end_id)
+                if largest >= len(df):
+                    df = np.append(df, np.zeros(largest + 1 - len(df), dtype=np.int64))
+                df[terms] += 1
+                keys.append(routing_key(terms))
+                sizes.append(len(own) + 1)
+                held.append(np.concatenate([own, end]).astype("<u2" if largest < 1 << 16 else "<u4").tobytes())
+            yield rows([b.column(0), range(first + n_docs, first + n_docs + len(sizes)), sizes, keys, held])
+            n_docs, n_tokens = n_docs + len(sizes), n_tokens + sum(sizes)
+        if n_docs:
+            df[end_id] = n_docs  # every document ends with it
+            terms = np.flatnonzero(df)
+            yield rows([[n_docs], [-1], [n_tokens], [terms.astype("<i8").tobytes()], [df[terms].astype("<i8").tobytes()]])
+        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+
+    return docs.mapInArrow(run, "id long, pos long, n long, key binary, ids binary")
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Statistics of all documents from a table of tokenized(); the driver gets one row a distinct term."""
+    counts = rows.where("pos < 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms, df in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8")) for x in (terms, df)], names=["term", "df"])
+
+    total = counts.agg(F.sum("id").alias("docs"), F.sum("n").alias("tokens")).first()
+    found = counts.select("key", "ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = found["term"].to_numpy(), found["df"].to_numpy()
+    dense = np.zeros(int(term.max(initial=0)) + 1, dtype=np.int64)
+    dense[term] = df
+    return Statistics(total["docs"] or 0, total["tokens"] or 0, dense)
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
     """Pack every row of docs into windows of `window` ids; one row per piece.
 
     tokenizer: path of a tokenizers file that the executors have. A document is its ids followed by end_id; null and
     empty texts are end_id alone. Rows with null or repeated ids are documents of their own. Every id lies in exactly
     one piece; a sequence is filled from offset 0 without gaps; the last one of a task is to be padded to the window.
-    text_ids is null unless with_ids. An empty table gives an empty result. Other columns are not looked at.
+    text_ids is null unless with_ids. An empty table gives an empty result. Other columns are not looked at. Tokenizing
+    and counting run at once, the packing when the result is read; bounds of its ranges are drawn by Spark from a
+    sample, so that reading the result of a large table twice may pack it differently.
     """
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = scratch(tokenized(chosen, tokenizer, end_id), "packing-ids")
+    corpus = statistics(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_pieces(tokenizer)
+        forget_pieces()
         packer = Packer(TaskContext.get().partitionId() << 40, window, with_ids)
-        end = np.array([end_id], dtype="<u4")
         names, held, size = [], [], 0
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append(np.concatenate([pieces.ids(text.as_py() or ""), end]))
+            for name, n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                found = ids.as_py()
+                held.append(np.frombuffer(found, "<u2" if len(found) == 2 * n else "<u4").astype("<u4"))
                 names.append(name)
-                size += len(held[-1])
+                size += n
                 if len(held) >= shard_docs or size >= SHARD_TOKENS:
-                    packer.shard(names, held)
+                    packer.shard(names, held, corpus)
                     names, held, size = [], [], 0
                     yield packer.drain()
         if held:
-            packer.shard(names, held)
+            packer.shard(names, held, corpus)
         yield packer.drain()
-        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+        pa.default_memory_pool().release_unused()
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, SCHEMA)
+    # long documents have small hashes and gather in few ranges: many ranges keep the largest small
+    ranges = max(1, -(-corpus.n_tokens // SHARD_TOKENS))
+    routed = rows.where("pos >= 0").repartitionByRange(ranges, "key", "pos").sortWithinPartitions("key", "pos")
+    return routed.select("id", "n", "ids").mapInArrow(run, SCHEMA)
 
 
 def tokenizer_path() -> str:

@@ -402,6 +402,23 @@ def test_packing_prefers_related_documents():
     assert [x[0] for x in packer.rows[:2]] == [0, 3]
 
 
+def test_packing_covers_the_corpus(spark):
+    """Copies that are read far apart, in different partitions, meet; statistics are those of all documents."""
+    r, words = random.Random(12), vocabulary(5, 3000)
+    texts = [prose(r, words, 40) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = packing.pack(docs, packing.tokenizer_path(), window=1 << 20, shard_docs=4).collect()
+    order = [x.id for x in sorted(got, key=lambda x: (x.sequence_id, x.offset))]
+    assert sorted(order) == sorted(i for i, _ in rows)
+    at = {i: k for k, i in enumerate(order)}
+    assert sum(abs(at[k] - at[1000 + k]) < 4 for k in range(60)) >= 50
+    found = packing.statistics(packing.tokenized(docs.withColumnRenamed("doc_id", "id"), packing.tokenizer_path()))
+    pieces = packing.Pieces(packing.tokenizer_path())
+    want = packing.Statistics.of([np.append(pieces.ids(t), np.uint32(1)) for _, t in rows])
+    assert (found.n_docs, found.n_tokens, found.df.tolist()) == (120, want.n_tokens, want.df.tolist())
+
+
 def test_packing_pieces_equal_the_tokenizer():
     pieces, r = packing.Pieces(packing.tokenizer_path()), random.Random(8)
     assert pieces.plain
