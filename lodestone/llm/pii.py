@@ -72,6 +72,18 @@ def emails(text: str) -> Iterator[Span]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[Span]:
+    """Proposals that pass the checksum, whole or up to one of their spaces, as a word or number may follow; the longest counts."""
+    m = _IBAN.search(text)
+    while m:
+        end = m.end()
+        while end > m.start() and not (15 <= len(i := text[m.start() : end].replace(" ", "")) <= 34 and mod97(i)):
+            end = text.rfind(" ", m.start(), end)
+        if end > m.start():
+            yield "iban", m.start(), end
+        m = _IBAN.search(text, max(end, m.start() + 1))
+
+
 def base_spans(text: str) -> list[Span]:
     found = list(emails(text)) if "@" in text else []
     if not _DIGIT.search(text):
@@ -102,7 +114,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float, bool]]:
     base = base_spans(text)
     found = [(k, s, e, score(text, k, s, e), True) for k, s, e in base]
     if _DIGIT.search(text):
-        more = [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(i := m[0].replace(" ", "")) <= 34 and mod97(i)]
+        more = list(ibans(text))
         more += [("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
         more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         for k, s, e in more:

@@ -81,6 +81,20 @@ def test_components(spark):
 # -- 1 ------------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("tail", ["", " BIC", " EUR", " 2024", " EUR 2024 OK", " AB12 CD34 EF56"])
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034"])
+def test_iban_before_other_words(iban, tail):
+    text = f"Konto {iban}{tail}"
+    assert list(pii.ibans(text)) == [("iban", 6, 6 + len(iban))]
+    assert ("iban", 6, 6 + len(iban)) in [x[:3] for x in pii.find(text)]
+
+
+def test_iban_after_others():
+    for text in ("AT611904300234573201 BE68 5390 0754 7034", "REF AB12 AT611904300234573201 BE68539007547034 EUR"):
+        assert [text[a:b].replace(" ", "") for _, a, b in pii.ibans(text)] == ["AT611904300234573201", "BE68539007547034"]
+    assert not list(pii.ibans("ES92 2100 0418 4502 0005 1332 BIC"))
+
+
 def test_pii_base_matches_patterns():
     r = random.Random(2)
     for _ in range(20000):
