@@ -7,8 +7,12 @@ then position, so that copies and related documents meet wherever they were read
 spread over several tasks. A task then takes its rows in shards of at most `shard_docs` documents (and about
 SHARD_TOKENS tokens), indexes their token counts and packs them: the document that opens a window is its seed; the
 seed's best-scoring unused documents of the shard follow until the window is full. A document that overlaps the end is
-cut, and what is left of it seeds the next window, so only a task's last sequence can need padding. An open window is
-carried from shard to shard. A seed sees its shard only: what resembles it under another key is not retrieved.
+cut, and what is left of it seeds the next window. An open window is carried from shard to shard; what is left when a
+task ends is cut into sequences whose lengths are powers of two, so that no sequence needs padding. A seed sees its shard
+only: what resembles it under another key is not retrieved.
+
+Tokenizing goes by batches: Arrow splits the texts at white space and numbers the distinct pieces, each of which is put
+to the tokenizer once, and the ids are gathered for all words at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +39,19 @@ WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 512, 2_000_000
 K1, B = 1.2, 0.75
 KEY_TERMS = 8
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, text_ids array<int>"
+SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, text_ids array<int>"
+#: Bytes of text whose pieces are numbered at a time, and words whose ids are gathered at a time.
+SLICE, GATHER = 1 << 24, 1 << 18
 
 
 # How the tokenizer file splits lower-case ASCII, and the file's normaliser and splitter.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Letters of the Latin blocks that stand alone under composition and lower their case one by one.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of the Latin blocks that stand alone under composition and lower their case one by one, then at most a mark.
+_MARKS = ".,;:!?"
+_WORD = f"^[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+[{_MARKS}]?$"
 #: Bytes above ASCII as the byte-level step writes them: those that don't print get characters from 256 up.
 _BYTE_LETTERS = {b: 256 + 34 + k for k, b in enumerate(range(0x7F + 1, 0xA1))} | {0xAD: 256 + 67}
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _is_plain(tokenizer) -> bool:
@@ -56,71 +63,108 @@ def _is_plain(tokenizer) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and splits[0].get("pattern") == {"Regex": _SPLIT} and byte_level
 
 
-def forget_pieces() -> None:
-    """Free the caches of this Python worker: it lives on into stages that tokenize nothing."""
-    kept = sys.modules.get("_lodestone_worker")
-    if kept:
-        kept.__dict__.get("pieces", {}).clear()
+def worker_tokenizer(path: str):
+    """One tokenizer per Python worker: kept in a module of its own, as functions come anew with each task."""
+    kept = sys.modules.setdefault("_lodestone_worker", types.ModuleType("_lodestone_worker"))
+    known = kept.__dict__.setdefault("tokenizers", {})
+    if path not in known:
+        from tokenizers import Tokenizer
+
+        known[path] = Tokenizer.from_file(path)
+    return known[path]
 
 
 class Pieces(dict):
-    """Token ids (packed uint32) by white-space separated piece of text; the tokenizer splits at white space anyway.
+    """Token ids (packed uint32) of lower-case words and runs of marks; all are forgotten when there are too many.
 
-    Two generations of at most LIMIT pieces are kept: what is used again moves to the younger one.
+    A piece is what lies between ASCII white space; the tokenizer splits there anyway.
     """
 
     LIMIT, LONGEST = 250_000, 40
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = worker_tokenizer(path)
         self.model = self.tokenizer.model
-        self.plain = _is_plain(self.tokenizer)
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self._encode(piece)
-        if len(piece) <= self.LONGEST:
+        marks = [self.tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS]
+        self.plain = _is_plain(self.tokenizer) and all(len(m) == 1 for m in marks)
+        self.marks = np.array([m[0] if m else 0 for m in marks], dtype=np.uint32)
+
+    def __missing__(self, part: str) -> bytes:
+        """Ids of a part that needs no normalising."""
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(part) <= self.LONGEST:
             if len(self) >= self.LIMIT:
-                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
-
-    def _encode(self, piece: str) -> bytes:
-        """Packed ids of a piece. Where normaliser and splitter are known to do no more than lower the case and part
-        letters from marks, the parts are looked up or put to the model directly."""
-        if self.plain:
-            if _LETTERS.fullmatch(piece):
-                low = piece.lower()
-                return self[low] if low != piece else self._model(low)
-            if piece[-1] in ".,;:!?" and _LETTERS.fullmatch(piece, 0, len(piece) - 1):
-                return self[piece[:-1]] + self[piece[-1]]
-            if piece.isascii() and piece.isprintable() and "<|" not in piece:
-                return b"".join(map(self._model, _PARTS.findall(piece.lower())))
+            self[part] = found
+        return found
+
+    def any_piece(self, piece: str) -> bytes:
+        """Ids of a piece that is no plain word. Where normaliser and splitter are known to do no more than lower the
+        case and part letters from marks, its parts are put to the model directly."""
+        if self.plain and piece.isascii() and piece.isprintable() and "<|" not in piece:
+            return b"".join(map(self.__getitem__, _PARTS.findall(piece.lower())))
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, part: str) -> bytes:
-        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+    def table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, length): the ids of distinct pieces one after the other, and where each piece's lie."""
+        n = len(pieces)
+        word = pc.match_substring_regex(pieces, _WORD).to_numpy(zero_copy_only=False) if self.plain else np.zeros(n, dtype=bool)
+        at, rest = np.flatnonzero(word), np.flatnonzero(~word)
+        plain = pieces.take(pa.array(at))
+        stems = pc.utf8_lower(pc.utf8_rtrim(plain, characters=_MARKS)).dictionary_encode()
+        mark = pc.index_in(pc.utf8_slice_codeunits(plain, -1), value_set=pa.array(list(_MARKS))).fill_null(-1).to_numpy(zero_copy_only=False)
+        held = [*map(self.__getitem__, stems.dictionary.to_pylist()), *map(self.any_piece, pieces.take(pa.array(rest)).to_pylist())]
+        lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
+        pool = np.frombuffer(b"".join(held), dtype="<u4")
+        source = np.empty(n, dtype=np.int64)
+        source[at] = stems.indices.to_numpy(zero_copy_only=False)
+        source[rest] = len(stems.dictionary) + np.arange(len(rest))
+        stem = lengths[source]
+        marked = np.full(n, -1, dtype=np.int64)
+        marked[at] = mark
+        length = stem + (marked >= 0)
+        first = np.cumsum(length) - length
+        ids = np.empty(int(length.sum()), dtype=np.uint32)
+        begins = np.cumsum(lengths) - lengths
+        step = _steps(stem)
+        ids[np.repeat(first, stem) + step] = pool[np.repeat(begins[source], stem) + step]
+        ids[(first + stem)[marked >= 0]] = self.marks[marked[marked >= 0]]
+        return ids, first, length
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; a null is empty."""
+        texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        done = 0
+        while done < len(texts):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SLICE, side="right")))
+            words = pc.ascii_split_whitespace(texts.slice(done, upto - done))
+            offsets = words.offsets.to_numpy().astype(np.int64)
+            numbered = words.flatten().dictionary_encode()
+            ids, first, length = self.table(numbered.dictionary)
+            number = numbered.indices.to_numpy(zero_copy_only=False)
+            offsets -= offsets[0]
+            k = 0
+            while k < len(offsets) - 1:
+                to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + GATHER, side="right")) - 1)
+                n = number[offsets[k] : offsets[to]]
+                size = length[n]
+                found = ids[np.repeat(first[n], size) + _steps(size)]
+                cuts = np.concatenate([[0], np.cumsum(size)])[offsets[k : to + 1] - offsets[k]].tolist()
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    yield found[a:b]
+                k = to
+            done = upto
 
     def ids(self, text: str) -> np.ndarray:
-        # str.split() also splits at four separators that are not white space to the tokenizer
-        parts = re.split(r"[ \t\n\r\f\v]+", text) if any(c in text for c in _SEPARATORS) else text.split()
-        return np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype="<u4")
+        return next(self.encode(pa.array([text])))
 
 
-def worker_pieces(path: str) -> Pieces:
-    """One cache per Python worker: kept in a module of its own, as functions come anew with each task."""
-    kept = sys.modules.setdefault("_lodestone_worker", types.ModuleType("_lodestone_worker"))
-    known = kept.__dict__.setdefault("pieces", {})
-    if path not in known:
-        known[path] = Pieces(path)
-    return known[path]
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def routing_key(terms: np.ndarray) -> bytes:
@@ -195,7 +239,7 @@ class ShardIndex:
 
 @dataclass
 class Packer:
-    """Fills windows in order; rows holds the pieces that are placed."""
+    """Fills windows in order; rows holds the pieces of full windows, pending those of the open one."""
 
     first_sequence: int
     window: int = WINDOW
@@ -204,6 +248,7 @@ class Packer:
     fill: int = 0
     seed: np.ndarray | None = None
     rows: list[tuple] = field(default_factory=list)
+    pending: list[tuple] = field(default_factory=list)
 
     def place(self, doc_id: int | None, ids: np.ndarray, terms: np.ndarray) -> bool:
         """Put a whole document; true if it closed a window or opened one, so that another seed is in charge."""
@@ -212,13 +257,31 @@ class Packer:
             self.seed = terms
         while start < len(ids):
             n = min(self.window - self.fill, len(ids) - start)
-            part = ids[start : start + n]
-            self.rows.append((doc_id, start, n, zlib.crc32(part.astype("<u4", copy=False)), len(ids), self.first_sequence + self.sequence, self.fill, part if self.with_ids else None))
+            self.pending.append((doc_id, start, ids[start : start + n], len(ids)))
             start, self.fill = start + n, self.fill + n
             if self.fill == self.window:
-                self.sequence, self.fill, self.seed, moved = self.sequence + 1, 0, terms, True
+                self._close(self.window)
+                self.seed, moved = terms, True
         return moved
 
+    def _close(self, size: int) -> None:
+        """A sequence of the first `size` pending ids, which need no padding."""
+        offset, pending, self.pending = 0, self.pending, []
+        for doc_id, start, part, total in pending:
+            n = min(len(part), size - offset)
+            if n:
+                head = part[:n]
+                self.rows.append((doc_id, start, n, zlib.crc32(head.astype("<u4", copy=False)), total, self.first_sequence + self.sequence, offset, size, head if self.with_ids else None))
+            if n < len(part):
+                self.pending.append((doc_id, start + n, part[n:], total))
+            offset += n
+        self.sequence, self.fill = self.sequence + 1, self.fill - size
+
+    def finish(self) -> None:
+        """Cut the open window into sequences whose lengths are powers of two, the longest first."""
+        while self.fill:
+            self._close(1 << self.fill.bit_length() - 1)
+
     def shard(self, names: list[int | None], docs: list[np.ndarray], corpus: Statistics | None = None) -> None:
         index = ShardIndex(docs, corpus)
         scores, nxt = None, 0
@@ -241,9 +304,9 @@ class Packer:
                 scores = None
 
     def drain(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) if self.rows else [()] * 8
+        cols = list(zip(*self.rows, strict=True)) if self.rows else [()] * 9
         self.rows = []
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
+        kinds = [pa.int64()] * 8 + [pa.list_(pa.int32())]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
 
@@ -256,15 +319,14 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_pieces(tokenizer)
+        pieces = Pieces(tokenizer)
         end = np.array([end_id], dtype="<u4")
         first, n_docs, n_tokens, df = TaskContext.get().partitionId() << 40, 0, 0, np.zeros(1 << 16, dtype=np.int64)
         kinds, names = [pa.int64()] * 3 + [pa.binary()] * 2, ["id", "pos", "n", "key", "ids"]
         rows = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
         for b in batches:
             sizes, keys, held = [], [], []
-            for text in b.column(1):
-                own = pieces.ids(text.as_py() or "")
+            for own in pieces.encode(b.column(1)):
                 terms = np.unique(own)
                 largest = max(int(terms.max(initial=0)), end_id)
                 if largest >= len(df):
@@ -306,17 +368,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     tokenizer: path of a tokenizers file that the executors have. A document is its ids followed by end_id; null and
     empty texts are end_id alone. Rows with null or repeated ids are documents of their own. Every id lies in exactly
-    one piece; a sequence is filled from offset 0 without gaps; the last one of a task is to be padded to the window.
-    text_ids is null unless with_ids. An empty table gives an empty result. Other columns are not looked at. Tokenizing
-    and counting run at once, the packing when the result is read; bounds of its ranges are drawn by Spark from a
-    sample, so that reading the result of a large table twice may pack it differently.
+    one piece; a sequence is filled from offset 0 without gaps and holds padded_length ids: the window, or a power of
+    two where a task ends. text_ids is null unless with_ids. An empty table gives an empty result. Other columns are
+    not looked at. Tokenizing and counting run at once, the packing when the result is read; bounds of its ranges are
+    drawn by Spark from a sample, so that reading the result of a large table twice may pack it differently.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch(tokenized(chosen, tokenizer, end_id), "packing-ids")
     corpus = statistics(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_pieces()
         packer = Packer(TaskContext.get().partitionId() << 40, window, with_ids)
         names, held, size = [], [], 0
         for b in batches:
@@ -331,6 +392,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     yield packer.drain()
         if held:
             packer.shard(names, held, corpus)
+        packer.finish()
         yield packer.drain()
         pa.default_memory_pool().release_unused()
 

@@ -105,7 +105,7 @@ CONTRACT = {
     "op5_simhash": {"doc_id", "fingerprint", "component_id"},
     "op6_importance": {"doc_id", "kept"},
     "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
-    "op8_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op8_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"},
     "op9_substring_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op10_line_dedup": {"doc_id", "n_lines_removed", "kept_sha256"},
 }
