@@ -2,11 +2,19 @@
 
 The raw model counts the hashed word unigrams and bigrams of every document; the target model counts those of texts
 labelled good (at most `max_labelled`, chosen by a hash of their id: a documented bound). A document's log importance
-weight is the mean log ratio of its n-grams times LENGTH, that is, the weight of LENGTH of its n-grams on average: plain
-sums would favour or reject documents for their length. Keys are weights plus Gumbel noise drawn from a hash of the id, and the k
-largest keys are kept. k is the number of documents whose weight lies on the good side of a threshold set on
-the labelled texts, so the size of the sample follows the corpus and not a fixed share. The k-th key is found by
-counting keys in ever finer ranges: no document leaves its task.
+weight is the log ratio of its probabilities under the two models: the sum over its n-grams. Its key is that weight plus
+Gumbel noise drawn from a hash of id and text, and the k largest keys stay: a sample of k documents without replacement,
+in proportion to their importance weights.
+
+k may be given. Otherwise it is the number of documents in the corpus that look like the target: those whose weight is
+no less than a cut that is set on the labelled texts, where losing a share of the good ones costs GOOD times what
+keeping that share of the bad ones does. So k follows the corpus and is no fixed share of it.
+
+Length: the weight is a sum, so that long documents have the largest weights of either sign and short ones lie near
+zero. Rank among the kept thus depends on length, but who stays hardly does: of documents with many n-grams the sign
+decides, and for those of a few words the noise has a say.
+
+The k-th key is found by counting keys in ever finer ranges: no document leaves its task.
 """
 
 from __future__ import annotations
@@ -15,20 +23,21 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, whole_row
 
 BUCKETS = 16384
 MAX_LABELLED = 8192
 SEED = "importance"
-#: n-grams for which a document's weight is stated.
-LENGTH = 256
 GOOD = 8
+#: Tokens of one text that are held at a time.
+BLOCK = 1 << 16
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -36,21 +45,37 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class Hashes(dict):
     """CRC-32 of tokens, remembered up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT, LONGEST = 100_000, 40
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        found = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        found = zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        if len(token) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[token] = found
         return found
 
 
-def features(text: str, known: Hashes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the unigrams and bigrams of a text, repeats included."""
-    tokens = _TOKEN.findall(text.lower())
-    one = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    two = one[:-1] * _STEP + one[1:] + np.uint64(1)
-    return ((np.concatenate([one, two]) * _MIX >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def tokens(text: str) -> Iterator[list[str]]:
+    """Lower-case words and runs of marks, in blocks."""
+    low = text.lower()
+    if len(low) <= BLOCK:
+        yield _TOKEN.findall(low)
+        return
+    found = _TOKEN.finditer(low)
+    while block := [m.group() for m in islice(found, BLOCK)]:
+        yield block
+
+
+def features(text: str, known: Hashes, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of the unigrams and bigrams of a text, repeats included, in blocks."""
+    last = np.zeros(0, dtype=np.uint64)
+    for block in tokens(text):
+        one = np.fromiter(map(known.__getitem__, block), dtype=np.uint64, count=len(block))
+        row = np.concatenate([last, one])
+        two = row[:-1] * _STEP + row[1:] + np.uint64(1)
+        last = row[-1:]
+        yield ((np.concatenate([one, two]) * _MIX >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def count(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -60,7 +85,8 @@ def count(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np
         total, known = np.zeros(buckets, dtype=np.int64), Hashes()
         for b in batches:
             for t in b.column(0):
-                total += np.bincount(features(t.as_py() or "", known, buckets), minlength=buckets)
+                for found in features(t.as_py() or "", known, buckets):
+                    total += np.bincount(found, minlength=buckets)
         known.clear()
         pa.default_memory_pool().release_unused()  # workers live on beyond the task
         seen = np.nonzero(total)[0]
@@ -79,8 +105,11 @@ class Model:
     threshold: float
 
     def weigh(self, text: str | None, known: Hashes) -> tuple[float, int]:
-        found = features(text or "", known, len(self.ratio))
-        return float(self.ratio[found].mean() * LENGTH) if len(found) else 0.0, len(found)
+        """Log importance weight and number of n-grams."""
+        weight, n = 0.0, 0
+        for found in features(text or "", known, len(self.ratio)):
+            weight, n = weight + float(self.ratio[found].sum()), n + len(found)
+        return weight, n
 
 
 def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -92,6 +121,8 @@ def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [model.weigh(t.as_py(), known) for t in b.column(b.num_columns - 1)]
             cols = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*names, "weight", "n"])
+        known.clear()
+        pa.default_memory_pool().release_unused()
 
     chosen = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
     names = chosen.columns[:-1]
@@ -128,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     model = Model(_log_ratio(target, raw), float("-inf"))
     if not target.sum():
         return Model(np.zeros(len(raw)), float("-inf"))
-    means = weights(texts, model, "doc_id", "text", ("quality",)).where("n > 0").select("quality", F.col("weight").alias("m")).collect()
-    model.threshold = best_threshold([r["m"] for r in means if r["quality"] == 1], [r["m"] for r in means if r["quality"] == 0])
+    found = weights(texts, model, "doc_id", "text", ("quality",)).where("n > 0").select("quality", "weight").collect()  # bounded by max_labelled
+    model.threshold = best_threshold([r["weight"] for r in found if r["quality"] == 1], [r["weight"] for r in found if r["quality"] == 0])
     return model
 
 
@@ -180,16 +211,17 @@ def _kth_tie(rows: DataFrame, k: int, few: int) -> str:
             return prefix
 
 
-def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, keep: tuple[str, ...] = (), k: int | None = None) -> DataFrame:
     """(id, keep..., weight, n, key, kept): Gumbel top-k over all rows of docs; exactly k rows stay, but for full ties.
 
-    Texts without n-grams (null, empty, blank) have weight 0 and lie on the rejected side: they add nothing to k and
-    their keys are lowest. Rows alike in id and text share one key and stay or go together. Empty table: empty result.
+    k: see the module. Texts without n-grams (null, empty, blank) have weight 0 and lie on the rejected side: they add
+    nothing to k and their keys are lowest. Rows alike in id and text share one key and stay or go together. Empty
+    table: empty result.
     """
     tied = docs.withColumn("__tie", _tie(id_col, text_col, seed))
     scored = scratch(weights(tied, model, id_col, text_col, (*keep, "__tie")), "weights")
     scored = scored.withColumns({"__weight": F.col("weight"), "__n": F.col("n"), "__key": _key(F.col("weight"), F.col("n"), F.col("__tie"))})
-    return scored.select("id", *keep, "weight", "n", F.col("__key").alias("key"), _kept(scored, model).alias("kept"))
+    return scored.select("id", *keep, "weight", "n", F.col("__key").alias("key"), _kept(scored, model, k).alias("kept"))
 
 
 def _tie(id_col: str, text_col: str, seed: str) -> Column:
@@ -203,22 +235,21 @@ def _key(weight: Column, n: Column, tie: Column) -> Column:
     return F.when(n > 0, weight - F.log(-F.log(uniform))).otherwise(F.lit(-1e300))
 
 
-def _kept(scored: DataFrame, model: Model) -> Column:
+def _kept(scored: DataFrame, model: Model, k: int | None = None) -> Column:
     """Whether a row is among the k largest keys; scored: a written table."""
-    k = scored.where((F.col("__n") > 0) & (F.col("__weight") >= model.threshold)).count()
+    if k is None:
+        k = scored.where((F.col("__n") > 0) & (F.col("__weight") >= model.threshold)).count()
     last = kth_largest(scored.select(F.col("__key").alias("key"), F.col("__tie").alias("tie")), k)
     if last is None:
         return F.lit(False)
     return (F.col("__key") > last[0]) | ((F.col("__key") == last[0]) & (F.col("__tie") >= last[1]))
 
 
-def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> DataFrame:
-    """The rows of docs, all columns, that resample() keeps. Columns whose names begin with two underscores are refused.
+def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED, k: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, that resample() keeps. Columns may have any names.
 
     Documents are written once with their weights; the cut reads only the keys of that table.
     """
-    if bad := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"names kept for internal use: {bad}")
 
     @F.arrow_udf("struct<w: double, n: long>")
     def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -226,16 +257,17 @@ def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for part in texts:
             found = [model.weigh(t.as_py(), known) for t in part]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["w", "n"])
+        known.clear()
         pa.default_memory_pool().release_unused()
 
     # only texts go to Python and only numbers come back; the other columns wait in the JVM
-    rows = docs.withColumn("__tie", _tie(id_col, text_col, seed)).withColumn("__found", weigh(F.col(text_col).cast("string")))
-    rows = rows.select(*docs.columns, "__tie", F.col("__found.w").alias("__weight"), F.col("__found.n").alias("__n"))
+    rows = docs.select(whole_row(docs).alias("doc"), _tie(id_col, text_col, seed).alias("__tie"), weigh(F.col(text_col).cast("string")).alias("__found"))
+    rows = rows.select("doc", "__tie", F.col("__found.w").alias("__weight"), F.col("__found.n").alias("__n"))
     scored = scratch(rows, "weighed").withColumn("__key", _key(F.col("__weight"), F.col("__n"), F.col("__tie")))
-    return scored.where(_kept(scored, model)).select(*docs.columns)
+    return scored.where(_kept(scored, model, k)).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = resample(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select(F.col("id").alias("doc_id"), F.col("weight").alias("log_weight"), F.col("n").alias("n_grams"), "kept")
+    return found.select(F.col("id").alias("doc_id"), F.col("weight").alias("log_weight"), F.col("n").alias("n_grams"), "key", "kept")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, scratch, table, words
+from .common import NULL_ID, join_counted, scratch, table, whole_row, words
 
 WINDOW, LONG_WORDS = 2, 50
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -70,34 +70,37 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch(fingerprints(docs, id_col, text_col, window, long_words), "line-fingerprints")
     # join positions: fingerprints that occur at one place only stand for no repeat
     place = F.struct("__id", "__row", "at")
-    often = found.groupBy("single", "fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("single", "fp")
+    often = found.groupBy("single", "fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("single", "fp", "n")
     # extend both ways: equal lines around a fingerprint make equal runs; the first of each stays
-    met = scratch(_extended(found.join(often, ["single", "fp"], "left_semi"), window), "line-runs")
+    met = scratch(_extended(join_counted(found, scratch(often, "line-repeats"), ["single", "fp"]), window), "line-runs")
     start = F.struct("__id", "at")
-    first = met.groupBy("single", "run").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last")
-    later = met.join(first.select("single", "run", "first"), ["single", "run"]).where(start > F.col("first"))
+    first = met.groupBy("single", "run").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    later = join_counted(met, scratch(first, "first-runs"), ["single", "run"]).where(start > F.col("first"))
     covered = F.explode(F.sequence(F.col("at"), F.col("at") + F.when(F.col("single"), 0).otherwise(window - 1)))
     return later.select("__id", "__row", covered.alias("p")).groupBy("__id", "__row").agg(F.collect_set("p").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with repeated runs of lines deleted from text_col, plus n_lines_removed (long); every row stays.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS, count_col: str | None = "n_lines_removed") -> DataFrame:
+    """docs with repeated runs of lines deleted from text_col, plus count_col (long, lines deleted; None: no such
+    column); every row stays.
 
     A null text stays null. Lines without a word are neither matched nor deleted. Null ids rank last and are one id;
-    rows that are alike in id and text are one document and keep or lose the same lines. Columns of docs whose names
-    begin with two underscores, or are n_lines_removed, are refused. An empty table gives an empty result.
+    rows that are alike in id and text are one document and keep or lose the same lines. Columns may have any names;
+    one named as count_col is replaced. An empty table gives an empty result.
     """
-    if bad := [c for c in docs.columns if c.startswith("__") or c == "n_lines_removed"]:
-        raise ValueError(f"names kept for internal use: {bad}")
     gone = repeated_lines(docs, id_col, text_col, window, long_words)
-    keyed = docs.withColumns(_keys(id_col, text_col)).join(gone, ["__id", "__row"], "left")
-    raw = F.split(_text(text_col), "\n")
+    keyed = docs.select(whole_row(docs).alias("doc"), *[c.alias(k) for k, c in _keys(id_col, text_col).items()]).join(gone, ["__id", "__row"], "left")
+    own = F.col("doc").getField(text_col)
+    raw = F.split(F.coalesce(own.cast("string"), F.lit("")), "\n")
     # place of each line among those with words, -1 for the others: a running count
     step = lambda a, x: F.struct((a["n"] + x.rlike(_HAS_WORD).cast("int")).alias("n"), F.concat(a["out"], F.array(F.when(x.rlike(_HAS_WORD), a["n"]).otherwise(-1))).alias("out"))
     places = F.aggregate(raw, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
     kept = F.filter(F.arrays_zip(raw.alias("x"), places.alias("p")), lambda z: ~F.array_contains("gone", z["p"]))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
-    return keyed.withColumns({text_col: text, "n_lines_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).select(*docs.columns, "n_lines_removed")
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda z: z["x"]), "\n"))
+    doc = F.col("doc").withField(f"`{text_col}`", text)
+    if count_col is not None:
+        doc = doc.withField(f"`{count_col}`", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return keyed.select(doc.alias("doc")).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

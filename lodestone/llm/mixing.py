@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, words
+from .common import scratch, whole_row, words
 
 WEIGHTS, SHARE_HALVES, CAP, SEED = (3, 1, 2), 3, 2, "mix"
 
@@ -98,21 +98,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """The mix itself: docs' own columns, a row for each epoch in which a document is taken.
 
     A document at its source's cut comes with the leading words that the budget still holds. Documents that the mix
-    does not take are left out; those without words are taken zero words, so they are left out as well. Columns of docs
-    whose names begin with two underscores are refused.
+    does not take are left out; those without words are taken zero words, so they are left out as well. Columns may
+    have any names.
     """
-    if bad := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"names kept for internal use: {bad}")
-    keyed = docs.withColumns(_keys(id_col, source_col, text_col, seed))
+    keyed = docs.select(whole_row(docs).alias("doc"), *[c.alias(k) for k, c in _keys(id_col, source_col, text_col, seed).items()])
     sized = scratch(keyed.select("__nosource", "__source", "__size", "__key"), "sized")
     marked = keyed.join(cuts(sized, weights), ["__nosource", "__source"]).withColumn("__taken", _taken()).where("__taken > 0")
     whole = F.expr("__taken div __size")
     part = F.col("__taken") - whole * F.col("__size")
     epochs = F.concat(F.array_repeat(F.col("__size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     rows = marked.withColumn("__words", F.explode(epochs))
-    lead = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(__words as int)), '')")
-    text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(lead)
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    own = F.col("doc").getField(text_col)
+    lead = F.array_join(F.slice(F.regexp_extract_all(own.cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__words").cast("int")), "")
+    text = F.when(F.col("__words") == F.col("__size"), own).otherwise(lead)
+    return rows.withColumn("doc", F.col("doc").withField(f"`{text_col}`", text)).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, scratch
-from .components import connected_components, forest
+from .common import NULL_ID, join_counted, scratch, whole_row
+from .components import connected_components
 
 SEED = 42
 
@@ -117,7 +117,7 @@ def group_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         home, living = (sent, lives) if home is None else (home.unionByName(sent), living.unionByName(lives))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
     met = living.join(home, ["side", "anchor"]).where((F.col("fp") < F.col("fp2")) & (F.col("part") != F.col("part2")) & (apart <= max_bits))
-    links = met.select(F.col("part").alias("u"), F.col("part2").alias("v")).mapInPandas(forest, "u long, v long")
+    links = met.select(F.col("part").alias("u"), F.col("part2").alias("v"))
     if max_bits >= 2:
         links = links.unionByName(fps.where("part <> rep").select(F.col("rep").alias("u"), F.col("part").alias("v")))
     return connected_components(links).select(F.col("node").alias("rep"), "component")
@@ -132,7 +132,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result. Other columns of docs are not looked at.
     """
     fps = scratch(fingerprints(docs, id_col, text_col), "doc-fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    reps = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # an id may occur under several fingerprints: a representative must be one fingerprint's own, hence ranks by fp
     reps = scratch(reps.withColumn("rep", F.coalesce("least", F.lit(NULL_ID))), "representatives")
     clash = reps.groupBy("rep").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where("n > 1")
@@ -144,27 +144,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = reps.join(found.withColumnRenamed("rep", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("g"))
         least = own.groupBy("g").agg(F.min("least").alias("component"))
         moved = own.join(least, "g").select("fp", "component")
-    known = reps.select("fp", "least").join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return fps.join(known, "fp").select("id", "fp", "component")
+    known = reps.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n")
+    return join_counted(fps, scratch(known, "groups"), ["fp"]).select("id", "fp", "component")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """docs, all columns, with one row of each near-duplicate group: the smallest id, of equal ids one row.
-
-    Columns whose names begin with two underscores are refused. Null ids rank last.
+    """docs, all columns, with one row of each near-duplicate group: the smallest id, null ids last; of rows alike in id
+    and text one (the one with the least hash of its values). Columns may have any names.
     """
-    if bad := [c for c in docs.columns if c.startswith("__")]:
-        raise ValueError(f"names kept for internal use: {bad}")
-    keys = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__row": F.xxhash64(F.col(text_col).cast("string"))}
-    keyed = docs.withColumns(keys)
-    fps = scratch(fingerprints(keyed, "__id", text_col, ("__row",)), "doc-fingerprints")
+    key, row = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__row")
+    keyed = docs.select(key, row, whole_row(docs).alias("doc"))
+    fps = scratch(fingerprints(docs.select(key, row, F.col(text_col).alias("text")), "__id", "text", ("__row",)), "doc-fingerprints")
     reps = scratch(fps.groupBy("fp").agg(F.min(F.struct("id", "__row")).alias("least")).select("fp", "least"), "representatives")
     found = group_fingerprints(reps.select("fp", F.col("fp").alias("rep")), max_bits)
     own = reps.join(found.withColumnRenamed("rep", "fp"), "fp", "left").withColumn("g", F.coalesce("component", "fp"))
     stay = own.groupBy("g").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.__row").alias("__row"))
-    same = Window.partitionBy("__id", "__row").orderBy(F.lit(0))
-    kept = keyed.join(stay, ["__id", "__row"], "left_semi").withColumn("__copy", F.row_number().over(same))
-    return kept.where("__copy = 1").select(*docs.columns)
+    copies = scratch(fps.groupBy(F.col("id").alias("__id"), "__row").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    if copies.isEmpty():
+        return keyed.join(stay, ["__id", "__row"], "left_semi").select("doc.*")
+    stay = scratch(stay.join(copies.select("__id", "__row", F.lit(True).alias("many")), ["__id", "__row"], "left"), "stay")
+    once = keyed.join(stay.where("many is null"), ["__id", "__row"], "left_semi").select("doc")
+    # of equal rows each task sends one
+    often = keyed.join(stay.where("many"), ["__id", "__row"], "left_semi").groupBy("__id", "__row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return once.unionByName(often).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,17 +6,22 @@ same document further left). The work is done on a parse of the corpus, not on i
 1. Parse. A rolling hash runs over each text; of every `length`-byte string the least hash of its `GRAM`-byte windows
    (the leftmost of equals) is its trigger. Triggers depend on content alone, so equal strings are cut at the same
    place. The strings that share one trigger occurrence form a phrase: the bytes from the start of the first to the end
-   of the last. Each string of the corpus belongs to exactly one phrase occurrence.
-2. Dictionary and parse. Phrase occurrences are brought together by trigger. An occurrence of a phrase that is equal
+   of the last, so that neighbouring phrases overlap and each string lies wholly in exactly one phrase occurrence.
+2. Parse in corpus order. Phrase occurrences are brought together by trigger. An occurrence of a phrase that is equal
    to an earlier one is repeated as a whole: for repetitive text nearly everything ends here, as numbers, without a
    byte of text moved. Triggers that stand in one phrase only are done as well.
-3. Order. What is left are first occurrences of different phrases around one trigger, the dictionary's hard part. Their
-   bytes are fetched and a suffix array of them (to a depth of `length`, which is all that matters) puts equal strings
-   next to each other in corpus order; all but the first are repeated. Triggers with very many phrases take the same
-   step by hash and minimum in Spark, so no group has to fit into a task.
+3. Dictionary. What is left are first occurrences of different phrases around one trigger, the dictionary's hard part.
+   Their bytes are fetched and the suffixes of the dictionary phrases are sorted, trigger by trigger and to a depth of
+   `length`: equal strings share their trigger and lie wholly in a phrase, so neither a suffix of another trigger nor
+   the order of the parse behind the phrase can decide between them. Equal strings come next to each other in corpus
+   order; all but the first are repeated. Triggers with so many phrases that they would fill a task are not sorted as
+   one group: their strings are dealt by hash and reduced to the first of each in Spark, with the same result. Very
+   frequent triggers are found beforehand in a sixteenth of the documents and dealt by phrase from the start; which
+   ones are found decides where rows go and nothing else.
 4. The repeated spans of a document meet its text once more, are united and cut out.
 
-Phrases are compared by a 64-bit hash of trigger and another of the whole phrase; the strings in step 3 by their bytes.
+Phrases are compared by a 64-bit hash of trigger and another of the whole phrase; the strings in step 3 by their bytes,
+or by a 128-bit hash where they are dealt by it.
 """
 
 from __future__ import annotations
@@ -31,21 +36,25 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, scratch
+from .common import NULL_ID, join_counted, scratch
 
 LENGTH, GRAM = 100, 40
-#: Phrases around one trigger that a task sorts; beyond it the strings are grouped by Spark.
+#: Phrases that a task sorts at a time, and the most around one trigger.
 SORTED = 4096
+#: One document in so many is looked through for very frequent triggers.
+SAMPLED = 16
 #: Occurrences that a parsing task remembers to settle repeats on its own; beyond it it forgets and begins anew.
 REMEMBERED = 1_000_000
-#: Bits of a packed place: first string, strings in the phrase, tag of the text.
-COUNT_BITS, TAG_BITS = 6, 19
+#: Bits for the number of strings in a packed place; the first string's start is above them.
+COUNT_BITS = 6
 #: Positions share a 64-bit key with the rolling hash, so texts are parsed in overlapping pieces of this many bytes.
 PIECE = 1 << 23
 _MASK = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
+#: States of a phrase occurrence beside 0.
+LATER, HOT = 1, 2
 
 
 def rolling(data: bytes, width: int = GRAM) -> np.ndarray:
@@ -95,46 +104,79 @@ def parse(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _phrases(length: int, gram: int):
-    """Phrase occurrences of a partition; those known to repeat an occurrence of the same task are marked `later`."""
+def _phrases(length: int, gram: int, hot: np.ndarray):
+    """Phrase occurrences of a partition.
+
+    state is LATER for those known to repeat an occurrence of the same task and HOT for those around a hot trigger. Rows
+    that need not meet others around their trigger are dealt by phrase, or, where nothing is left to find out, anyhow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[int, int]] = {}
-        shift = COUNT_BITS + TAG_BITS
+        frequent = set(hot.tolist())
         for batch in batches:
-            out_g, out_c, out_doc, out_place, later = [], [], [], [], []
-            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out_g, out_c, out_doc, out_place, state = [], [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = text.as_buffer().to_pybytes()
                 if len(data) < length:
                     continue
                 first, count, g = parse(data, length, gram)
-                places = ((first << COUNT_BITS | count) << TAG_BITS | tag).tolist()
+                places = (first << COUNT_BITS | count).tolist()
                 classes = [xxhash.xxh64_intdigest(data[a : a + n + length - 1], 1) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                marks = [False] * len(places)
+                triggers, marks = g.tolist(), [0] * len(places)
                 for k, (c, place) in enumerate(zip(classes, places, strict=True)):
                     seen = known.setdefault(c, (doc, place))
-                    if seen[0] < doc or (seen[0] == doc and seen[1] >> shift < place >> shift):
-                        marks[k] = True
-                    elif seen[0] != doc or seen[1] >> shift != place >> shift:  # the one remembered comes later
-                        out_g.append(xxhash.xxh64_intdigest(f"{seen}") >> 1)
-                        out_c.append(c)
-                        out_doc.append(seen[0])
-                        out_place.append(seen[1])
-                        later.append(True)
-                        known[c] = (doc, place)
-                out_g += [xxhash.xxh64_intdigest(f"{doc}:{p}") >> 1 if m else h for h, p, m in zip(g.tolist(), places, marks, strict=True)]
+                    if seen < (doc, place):
+                        marks[k], triggers[k] = LATER, xxhash.xxh64_intdigest(f"{doc}:{place}") >> 1
+                    else:
+                        if seen > (doc, place):  # the one remembered comes later
+                            out_g.append(xxhash.xxh64_intdigest(f"{seen}") >> 1)
+                            out_c.append(c)
+                            out_doc.append(seen[0])
+                            out_place.append(seen[1])
+                            state.append(LATER)
+                            known[c] = (doc, place)
+                        if triggers[k] in frequent:
+                            marks[k], triggers[k] = HOT, c >> 1
+                out_g += triggers
                 out_c += classes
                 out_doc += [doc] * len(places)
                 out_place += places
-                later += marks
+                state += marks
                 if len(known) > REMEMBERED:
                     known.clear()
             c = np.array(out_c, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out_g, dtype=np.int64)), pa.array(c), pa.array(np.array(out_doc, dtype=np.int64)), pa.array(np.array(out_place, dtype=np.int64)), pa.array(later, pa.bool_())], names=["g", "c", "doc", "place", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(out_g, dtype=np.int64)), pa.array(c), pa.array(np.array(out_doc, dtype=np.int64)), pa.array(np.array(out_place, dtype=np.int64)), pa.array(state, pa.int8())], names=["g", "c", "doc", "place", "state"])
+        known.clear()
+        pa.default_memory_pool().release_unused()  # workers live on beyond the task
 
     return run
 
 
+def hot_triggers(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, sampled: int = SAMPLED) -> np.ndarray:
+    """Triggers that would fill more than a quarter of an even share of the shuffle partitions, judged by one document
+    in `sampled`; there are at most four times as many as partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column(0):
+                found, n = np.unique(parse(text.as_buffer().to_pybytes(), length, gram)[2], return_counts=True)
+                for g, k in zip(found.tolist(), n.tolist(), strict=True):
+                    total[g] = total.get(g, 0) + k
+                if len(total) > REMEMBERED:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["g", "n"])
+                    total.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["g", "n"])
+
+    chosen = keyed.where(F.pmod(F.xxhash64("doc"), F.lit(sampled)) == 0).select("text")
+    counts = scratch(chosen.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"), "triggers")
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > max(32, total // (4 * partitions))).select("g").collect()
+    return np.array([r["g"] for r in found], dtype=np.int64)
+
+
 def _context(length: int):
     """Bytes of the phrases that a text is asked for."""
 
@@ -144,7 +186,7 @@ def _context(length: int):
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 for x in asked:
-                    first, count = x["place"] >> (COUNT_BITS + TAG_BITS), x["place"] >> TAG_BITS & ((1 << COUNT_BITS) - 1)
+                    first, count = x["place"] >> COUNT_BITS, x["place"] & ((1 << COUNT_BITS) - 1)
                     g.append(x["g"])
                     m.append(x["m"])
                     doc_out.append(doc)
@@ -155,45 +197,44 @@ def _context(length: int):
     return run
 
 
-SPAN = "doc long, tag long, first long, last long"
+SPAN = "doc long, first long, last long"
 
 
-def _spans(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, tag, first, last)], names=["doc", "tag", "first", "last"])
+def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, first, last)], names=["doc", "first", "last"])
 
 
-def _expand(batch: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes, document, tag, start) of every string of the rows' phrases."""
+def _expand(batch: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bytes, document, start) of every string of the rows' phrases."""
     place = batch["place"].to_numpy()
-    first, count, tag = place >> (COUNT_BITS + TAG_BITS), place >> TAG_BITS & ((1 << COUNT_BITS) - 1), place & ((1 << TAG_BITS) - 1)
+    first, count = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
     joined = np.frombuffer(b"".join(batch["phrase"].to_pylist()), dtype=np.uint8)
     begins = np.concatenate([[0], np.cumsum(count + length - 1)[:-1]])
     row = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     strings = np.lib.stride_tricks.sliding_window_view(joined, length)[begins[row] + step]
-    return row, strings, batch["doc"].to_numpy()[row], tag[row], first[row] + step
+    return row, strings, batch["doc"].to_numpy()[row], first[row] + step
 
 
 def _sorted_repeats(length: int):
-    """Repeated strings of whole trigger groups, which come one after the other in corpus order: a suffix array each."""
+    """Repeated strings of whole trigger groups, which come one after the other in corpus order: the suffixes of their
+    phrases in order, to a depth of `length`."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         g = rows["g"].to_numpy()
-        row, strings, doc, tag, start = _expand(rows, length)
+        row, strings, doc, start = _expand(rows, length)
         keyed = np.concatenate([g.astype(">i8").view(np.uint8).reshape(-1, 8)[row], strings], axis=1)
         keyed = np.ascontiguousarray(keyed).view(f"V{length + 8}").ravel()
         text = keyed.view(f"S{length + 8}")
         order = np.argsort(text, kind="stable")
         ranked = text[order]
         head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        later = (doc[lead] < doc[order]) | ((doc[lead] == doc[order]) & (start[lead] < start[order]))
-        hit = np.sort(order[later])
+        hit = np.sort(order[~head])  # rows come in corpus order, and the sort keeps it
         # neighbouring starts of one phrase make one span
         new = np.concatenate([[True], (row[hit[1:]] != row[hit[:-1]]) | (start[hit[1:]] != start[hit[:-1]] + 1)]) if len(hit) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(hit)) - 1 if len(begin) else begin
-        return _spans(doc[hit[begin]], tag[hit[begin]], start[hit[begin]], start[hit[end]])
+        return _spans(doc[hit[begin]], start[hit[begin]], start[hit[end]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -215,6 +256,7 @@ def _sorted_repeats(length: int):
         if held and size:
             for part in _whole_groups(pa.concat_tables(held)):
                 yield settle(part)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -234,45 +276,55 @@ def _hashed_strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SORTED):
-                rows = pa.Table.from_batches([whole.slice(at, SORTED)])
-                row, strings, doc, tag, start = _expand(rows, length)
+                _, strings, doc, start = _expand(pa.Table.from_batches([whole.slice(at, SORTED)]), length)
                 data = strings.tobytes()
-                h = np.array([xxhash.xxh64_intdigest(data[k : k + length], 2) for k in range(0, len(data), length)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["g"].to_numpy()[row]), pa.array(h), pa.array(doc), pa.array(tag), pa.array(start)], names=["g", "h", "doc", "tag", "start"])
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(0, len(data), length)), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc), pa.array(start)], names=["h", "h2", "doc", "start"])
 
     return run
 
 
 def _release(spark) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer referred to."""
+    """Let Spark drop the shuffle files of plans that are no longer referred to: the cleaner acts on garbage collection,
+    and a driver with much memory may not collect before the disks are full."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sorted: int = SORTED) -> DataFrame:
-    """(doc, tag, first, last): starts of repeated strings. keyed: (doc, tag, text binary)."""
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sorted: int | None = None, hot: np.ndarray | None = None) -> DataFrame:
+    """(doc, first, last): starts of repeated strings. keyed: (doc, text binary), doc all different and in corpus order.
+
+    most_sorted: phrases around one trigger that a task may sort; if None, a quarter of an even share of the shuffle
+    partitions, SORTED at most. hot: triggers that are dealt by phrase; if None, hot_triggers() finds them. Neither
+    changes the result.
+    """
     spark = keyed.sparkSession
-    found = keyed.mapInArrow(_phrases(length, gram), "g long, c long, doc long, place long, later boolean")
-    by_trigger, at = Window.partitionBy("g"), F.shiftright("place", COUNT_BITS + TAG_BITS)
-    found = found.withColumn("n", F.count("*").over(by_trigger)).where("later or n > 1")
-    in_order = Window.partitionBy("g", "c").orderBy("doc", at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct("doc", at.alias("at"))).over(in_order)
-    found = found.withColumn("first", first).withColumn("later", F.col("later") | (F.struct("doc", at.alias("at")) > F.col("first")))
-    found = found.withColumn("m", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(by_trigger)).where("later or m > 1")
+    hot = hot_triggers(keyed, length, gram) if hot is None else hot
+    found = keyed.select("doc", "text").mapInArrow(_phrases(length, gram, hot), "g long, c long, doc long, place long, state byte")
+    # places of one document order as their starts do
+    by_trigger, later = Window.partitionBy("g"), F.col("state") == LATER
+    found = found.withColumn("n", F.count("*").over(by_trigger)).where(f"state <> 0 or n > 1")
+    in_order = Window.partitionBy("g", "c").orderBy("doc", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("first", F.first(F.struct("doc", "place")).over(in_order)).withColumn("later", later | (F.struct("doc", "place") > F.col("first")))
+    found = found.withColumn("m", F.sum(F.when(F.col("later"), 0).otherwise(1)).over(by_trigger)).where("later or state <> 0 or m > 1")
+    found = found.withColumn("m", F.when(F.col("state") == HOT, F.lit(1 << 62)).otherwise(F.col("m")))
     found = scratch(found.select("g", "doc", "place", "later", "m"), "phrases")
     _release(spark)
-    tag, count = F.col("place").bitwiseAND((1 << TAG_BITS) - 1), F.shiftright("place", TAG_BITS).bitwiseAND((1 << COUNT_BITS) - 1)
-    whole = found.where("later").select("doc", tag.alias("tag"), at.alias("first"), (at + count - 1).alias("last"))
-    asked = found.where("not later").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("g", "m", "place")).alias("asked"))
-    phrases = keyed.join(asked, ["doc", "tag"]).select("doc", "text", "asked").mapInArrow(_context(length), "g long, m long, doc long, place long, phrase binary")
+    at, count = F.shiftright("place", COUNT_BITS), F.col("place").bitwiseAND((1 << COUNT_BITS) - 1)
+    whole = found.where("later").select("doc", at.alias("first"), (at + count - 1).alias("last"))
+    asked = found.where("not later").groupBy("doc").agg(F.collect_list(F.struct("g", "m", "place")).alias("asked"))
+    phrases = keyed.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_context(length), "g long, m long, doc long, place long, phrase binary")
     phrases = scratch(phrases, "dictionary")
     _release(spark)
+    if most_sorted is None:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most_sorted = min(SORTED, max(64, phrases.count() // (4 * partitions)))
     few = phrases.where(F.col("m") <= most_sorted).select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g", "doc", "place")
     few = few.mapInArrow(_sorted_repeats(length), SPAN)
-    strings = phrases.where(F.col("m") > most_sorted).select("g", "doc", "place", "phrase").mapInArrow(_hashed_strings(length), "g long, h long, doc long, tag long, start long")
+    strings = scratch(phrases.where(F.col("m") > most_sorted).select("doc", "place", "phrase").mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long"), "strings")
     start = F.struct("doc", "start")
-    earliest = strings.groupBy("g", "h").agg(F.min(start).alias("a"), F.max(start).alias("b")).where("a <> b").select("g", "h", "a")
-    many = strings.join(earliest, ["g", "h"]).where(start > F.col("a")).select("doc", "tag", F.col("start").alias("first"), F.col("start").alias("last"))
+    earliest = strings.groupBy("h", "h2").agg(F.min(start).alias("a"), F.count("*").alias("n")).where("n > 1")
+    many = join_counted(strings, scratch(earliest, "first-strings"), ["h", "h2"]).where(start > F.col("a")).select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(few).unionByName(many)
 
 
@@ -303,21 +355,40 @@ def _cut(length: int, with_text: bool):
     return run
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, id, text binary) of all rows: doc is different for different documents and follows their order; and, if
+    ids repeat or are null, the rows of each doc as (doc, n).
+
+    Ids that are all different and not null are the numbers themselves. Otherwise the different pairs of id and text are
+    sorted and numbered, null ids last, texts of one id by their hashes.
+    """
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    if docs.select(id_.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
+        return docs.select(id_.alias("doc"), id_.alias("id"), text.cast("binary").alias("text")), None
+    keys = ["rank", "h", "h2"]
+    keyed = docs.select(F.coalesce(id_, F.lit(NULL_ID)).alias("rank"), F.xxhash64(text).alias("h"), F.hash(text).alias("h2"), id_.alias("id"), text.cast("binary").alias("text"))
+    distinct = keyed.groupBy(*keys).agg(F.count("*").alias("n")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    number = scratch(distinct.withColumn("doc", F.monotonically_increasing_id()), "numbers")
+    return join_counted(keyed, number, keys).select("doc", "id", "text"), number.select("doc", "n")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """One row per row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, null unless with_text).
 
-    Null texts count as empty. Null ids rank last and are one id. Rows with equal ids and different texts compare by
-    start, as within one document; rows alike in id and text are one document with as many result rows. Other columns
-    are not looked at. An empty table gives an empty result.
+    Null texts count as empty. Null ids rank last. Rows alike in id and text are one document with as many result rows;
+    rows with equal ids (or both null) and different texts are documents of their own, ordered by a hash of their texts.
+    Other columns are not looked at. An empty table gives an empty result.
     """
     if not GRAM < length <= GRAM + (1 << COUNT_BITS) - 2:
         raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + (1 << COUNT_BITS) - 2}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"), text.cast("binary").alias("text"))
-    spans = repeated_spans(keyed, length)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    real = F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("id")
-    return keyed.join(spans, ["doc", "tag"], "left").select(real, "text", "spans").mapInArrow(_cut(length, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    keyed, rows = numbered(docs, id_col, text_col)
+    gather = lambda spans: spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    if rows is None:
+        known = keyed.join(gather(repeated_spans(keyed, length)), "doc", "left")
+    else:  # rows alike are parsed once
+        found = gather(repeated_spans(keyed.select("doc", "text").dropDuplicates(["doc"]), length))
+        known = join_counted(keyed, scratch(found.join(rows, "doc"), "document-spans"), ["doc"], how="left")
+    return known.select("id", "text", "spans").mapInArrow(_cut(length, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -260,8 +260,6 @@ def test_mix_awkward(spark):
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", "b")], DOCS)
     assert [(x.target, x.taken) for x in mixing.mix(blank).collect()] == [(0.0, 0), (0.0, 0)]
     assert mixing.mix(blank.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixed_documents(blank.withColumnRenamed("source", "__x").withColumnRenamed("__x", "__source"))
 
 
 # -- 5 ------------------------------------------------------------------------------------------------------------------
@@ -317,7 +315,7 @@ def test_importance(spark):
 def test_importance_counts_all_texts(spark, corpus, docs):
     known, want = importance.Hashes(), np.zeros(importance.BUCKETS, dtype=int)
     for _, t, _ in corpus:
-        want += np.bincount(importance.features(t or "", known), minlength=importance.BUCKETS)
+        want += sum(np.bincount(x, minlength=importance.BUCKETS) for x in importance.features(t or "", known))
     assert (importance.count(docs) == want).all()
 
 
@@ -453,21 +451,53 @@ def test_packing_pieces_equal_the_tokenizer(monkeypatch):
 
 
 def test_packing_awkward(spark):
-    assert packing.pack(awkward(spark), packing.tokenizer_path()).count() == 6
+    got = packing.pack(awkward(spark), packing.tokenizer_path())
+    assert got.where("start = 0").count() == 6 and got.agg({"length": "sum"}).first()[0] == got.where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
     assert packing.pack(awkward(spark).limit(0), packing.tokenizer_path()).count() == 0
 
 
 # -- 9 ------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("most_sorted", [4096, 1])
-def test_substrings(spark, corpus, docs, monkeypatch, most_sorted):
-    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (100, 40, most_sorted))
+@pytest.mark.parametrize("most_sorted, hot", [(4096, None), (1, None), (4096, "all"), (64, "some")])
+def test_substrings(spark, corpus, docs, monkeypatch, most_sorted, hot):
+    found = np.unique(np.concatenate([substring_dedup.parse((t or "").encode())[2] for _, t, _ in corpus]))
+    chosen = {None: None, "all": found, "some": found[::2]}[hot]
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (100, 40, most_sorted, chosen))
     want = brute.substrings([(i, t) for i, t, _ in corpus])
     for x in substring_dedup.dedup_substrings(docs).collect():
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.id], x.id
 
 
+def test_hot_triggers(spark):
+    r, words = random.Random(21), vocabulary()
+    line = prose(r, words, 12)
+    texts = [f"{prose(r, words, 12)} {line} {prose(r, words, 12)}" for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").selectExpr("doc", "cast(text as binary) text")
+    hot = substring_dedup.hot_triggers(df, sampled=1)
+    among = [set(substring_dedup.parse(t.encode())[2].tolist()) for t in texts]
+    assert 0 < len(hot) <= 16 and all(sum(h in found for found in among) > 200 for h in hot.tolist())
+    got = {x.id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.dedup_substrings(df.selectExpr("doc doc_id", "cast(text as string) text"), length=60).collect()}
+    assert got == brute.substrings(list(enumerate(texts)), 60)
+
+
+@pytest.mark.parametrize("kind", ["null", "repeated", "both"])
+def test_substrings_without_own_ids(spark, kind):
+    """Thousands of different texts under a null id, and under ids that repeat, some rows alike in both."""
+    r, words = random.Random(31), vocabulary(n=80)
+    passages = [prose(r, words, 40) for _ in range(30)]
+    texts = [f"{prose(r, words, 3)} {r.choice(passages)} {prose(r, words, 3)}" for _ in range(5000)]
+    texts += texts[:500]
+    ids = {"null": lambda k: None, "repeated": lambda k: k % 7, "both": lambda k: None if k % 3 else k % 40}[kind]
+    df = spark.createDataFrame([(ids(k), t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    order = df.distinct().selectExpr("doc_id", "text", "xxhash64(text) h", "hash(text) h2").collect()
+    order.sort(key=lambda x: (x.doc_id is None, x.doc_id or 0, x.h, x.h2))
+    want = brute.substrings([(k, x.text) for k, x in enumerate(order)])
+    want = {(x.doc_id, x.text): want[k] for k, x in enumerate(order)}
+    got = substring_dedup.dedup_substrings(df).collect()
+    assert collections.Counter((x.id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == collections.Counter((ids(k), *want[ids(k), t]) for k, t in enumerate(texts))
+
+
 def test_substring_pieces(monkeypatch):
     """A text parsed in pieces has the triggers that it has as a whole."""
     r = random.Random(4)
@@ -488,8 +518,10 @@ def test_substrings_awkward(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x.id or -1, x.n_bytes, x.n_removed) for x in substring_dedup.dedup_substrings(df).collect())
     n = len(long)
-    # equal rows are one document: neither comes first; the longer text of id 3 starts one byte later
-    assert got == [(-1, n, n), (-1, n, n), (3, n, 0), (3, n, 0), (3, 2 * n + 1, 2 * n), (4, n, n), (5, 0, 0)]
+    # equal rows are one document: neither comes first; the texts of id 3 go by their hashes
+    shorter = df.where("doc_id = 3").selectExpr("xxhash64(text) h", "text").orderBy("h").first().text == long
+    two = [(3, n, 0), (3, n, 0), (3, 2 * n + 1, 2 * n)] if shorter else [(3, n, n), (3, n, n), (3, 2 * n + 1, n)]
+    assert got == [(-1, n, n), (-1, n, n), *two, (4, n, n), (5, 0, 0)]
     assert substring_dedup.dedup_substrings(df.limit(0)).count() == 0
     kept = substring_dedup.dedup_substrings(df, with_text=True).where("id = 4").first().kept
     assert bytes(kept) == b""
@@ -512,5 +544,60 @@ def test_lines_awkward(spark):
     assert got == sorted([(99, "e", 2), (99, "e", 2), (1, "a b\nc d\nz", 0), (2, "\n\n", 2), (3, None, 0), (4, "a b", 0)], key=str)
     assert line_dedup.dedup_lines(awkward(spark)).columns == [*awkward(spark).columns, "n_lines_removed"]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(df.withColumn("__row", df["text"]))
+    assert [x.n_lines_removed for x in line_dedup.dedup_lines(df.where("doc_id = 2").withColumn("n_lines_removed", df["text"])).collect()] == [0]
+    assert line_dedup.dedup_lines(df, count_col=None).columns == df.columns
+
+
+# -- columns of any name ------------------------------------------------------------------------------------------------
+
+#: Names that the operators use for columns of their own, and names that need quoting.
+NAMES = """__id __row __tie __weight __n __key __found __source __nosource __size __taken __words __cut __part __epochs __total
+__target __rows __range __rest __budget __w __s __u __m __d id doc key kept weight n gone single fp at around off run first
+last p l h g h0 h1 a0 a1 rep least component node part anchor side m u v c place state later spans rank h2 asked phrase
+start end length ids_crc32 doc_tokens sequence_id offset padded_length text_ids pos ids size target taken n_lines_removed
+n_words kept quality toxic score held_out predicted bucket x z a.b a`b""".split()
+
+
+def crowded(df, row):
+    """df with a column of every name in NAMES that it does not have."""
+    taken = {c.lower() for c in df.columns}
+    more = [n for k, n in enumerate(NAMES) if n.lower() not in taken and n not in NAMES[:k]]
+    return df.select("*", *[row(n).alias(n) for n in more])
+
+
+def test_columns_of_any_name(spark, docs):
+    from pyspark.sql import functions as F
+
+    full = crowded(docs, lambda n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    r = random.Random(2)
+    known = [(k, k % 2, int(k % 5 == 0)) for k in range(0, 80, 2)]
+    labels = spark.createDataFrame([(k, q and int(r.random() < 0.9), t) for k, q, t in known], "doc_id long, quality int, toxic int")
+    model, toxic = importance.train(docs, labels), toxicity.train(toxicity.training_rows(docs, labels))
+    run = {
+        "pii": lambda d: pii.find_pii(d),
+        "rules": lambda d: quality_rules.apply_rules(d, labels),
+        "mix": lambda d: mixing.mix(d),
+        "simhash": lambda d: simhash.simhash_groups(d),
+        "importance": lambda d: importance.resample(d, model),
+        "toxicity": lambda d: toxicity.score(d, toxic),
+        "packing": lambda d: packing.pack(d.coalesce(1), packing.tokenizer_path()).groupBy("id").agg(F.sum("length").alias("n")),
+        "substrings": lambda d: substring_dedup.dedup_substrings(d),
+    }
+    for name, op in run.items():
+        assert sorted(op(full).collect(), key=str) == sorted(op(docs).collect(), key=str), name
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.01]), (3, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<double>")
+    wide = crowded(vectors, lambda n: F.lit(n))
+    assert sorted(embedding_dedup.embedding_groups(wide).collect()) == sorted(embedding_dedup.embedding_groups(vectors).collect())
+    whole = {
+        "importance": lambda d: importance.kept_documents(d, model),
+        "lines": lambda d: line_dedup.dedup_lines(d, count_col=None),
+        "simhash": lambda d: simhash.distinct_documents(d),
+        "mix": lambda d: mixing.mixed_documents(d),
+    }
+    for name, op in whole.items():
+        got = op(full)
+        assert got.columns == full.columns, name
+        rows = got.collect()
+        assert sorted(((x.doc_id, x.text, x.source) for x in rows), key=str) == sorted(((x.doc_id, x.text, x.source) for x in op(docs).collect()), key=str), name
+        at = got.columns.index("gone")
+        assert all(x[at] == f"gone{x.doc_id}" for x in rows), name
