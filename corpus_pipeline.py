@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines are deleted from the texts; every document stays."""
-    return recounted(line_dedup.dedup_lines(docs).drop("n_lines_removed"))
+    return recounted(line_dedup.dedup_lines(docs, count_col=None))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
