@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +18,8 @@ from .common import scratch
 EDGES = "u long, v long"
 
 
-def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The links (u, v) of one partition reduced to one link per node and local root, u > v."""
-    parent: dict[int, int] = {}
+def spanning(u: list[int], v: list[int], parent: dict[int, int]) -> None:
+    """Unite the ends of each link in parent, smaller nodes above larger ones."""
 
     def root(x: int) -> int:
         while (p := parent.setdefault(x, x)) != x:
@@ -28,15 +27,23 @@ def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = p
         return x
 
-    for pdf in batches:
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
+    for x, y in zip(u, v, strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of one partition reduced to one link per node and local root, u > v."""
+    parent: dict[int, int] = {}
+    for b in batches:
+        spanning(b.column(0).to_pylist(), b.column(1).to_pylist(), parent)
+    for x in sorted(parent):  # a parent is smaller and thus settled before
+        parent[x] = parent[parent[x]]
+    nodes = [x for x, top in parent.items() if top != x]
     for at in range(0, len(nodes), 100_000):
         part = nodes[at : at + 100_000]
-        yield pd.DataFrame({"u": part, "v": [root(x) for x in part]}, dtype="int64")
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[x] for x in part], pa.int64())], names=["u", "v"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     an empty result.
     """
     links = links.where("u is not null and v is not null and u <> v")
-    edges = scratch(links.select("u", "v").mapInPandas(forest, EDGES), "forest")
+    edges = scratch(links.select("u", "v").mapInArrow(forest, EDGES), "forest")
     before = None
     for _ in range(max_rounds):
         edges = scratch(_small_star(_large_star(edges)), "stars")

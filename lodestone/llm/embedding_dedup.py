@@ -1,30 +1,36 @@
 """Embedding near-dedup: an HNSW graph per shard, every shard queried, beams widened until recall audits pass.
 
 Equal vectors of a label are one node with a count. The nodes of a label are dealt by hash into shards of about
-`shard_size`; each shard's graph is built in one task and written to the shared folder. Every pair of shards of a label
-is then one small task: the vectors of the one query the graph of the other. A query whose beam is full of links is
-asked again with a wider beam; queries drawn at random and those with the nearest neighbours are audited against
-an exact search of the shard, and all beams widen until the audit finds nothing missing (at the widest, the search is
-exhaustive). Cosines are verified in double precision. A task returns sums of links by node and a spanning forest
-of its links, never the pairs themselves, so a dense group costs its size and not its square.
+`shard_size`; each shard's graph is built in one task and written to the shared folder. A shard then meets each other
+shard of its label once, in a task that holds its graph and takes the vectors of half of the others one shard after the
+other. A query whose beam is full of links is asked again with a wider beam, and if that is full too with one as wide
+as the shard, which is a block of products over all its vectors. Queries drawn at random and those with the nearest
+neighbours are audited against an exact search of the shard, and all beams widen until the audit finds nothing missing.
+Cosines are verified in double precision. Links are added to sums by node and to a spanning forest as they are found; a
+task never holds more of them than a beam for each vector, so a dense group costs memory for its size and not its square.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
-from .components import connected_components, forest
+from .common import release_memory, scratch
+from .components import connected_components, spanning
 from .hnsw import Graph
 
-COSINE, SHARD_SIZE, EF, AUDIT = 0.98, 8192, 32, 64
+COSINE, SHARD_SIZE, EF = 0.98, 8192, 32
+#: Queries audited: one in AUDIT_SHARE at random and as many of those with the nearest neighbours, AUDIT each at least.
+AUDIT, AUDIT_SHARE = 64, 64
 #: float32 dot products may fall short of the double ones by this much.
 SLACK = 1e-4
+#: Queries answered together.
 QUERIES = 256
 
 
@@ -35,61 +41,126 @@ def usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & ~bad & (norm > 0) & (norm < float("inf")), F.lit(False))
 
 
-def exact_links(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float, cosine: float) -> np.ndarray:
-    return np.nonzero(vectors @ query >= cosine * norms * norm)[0]
+class Shard:
+    """Vectors to be searched, in double precision, with their graph."""
 
+    def __init__(self, vectors: np.ndarray, graph: Graph):
+        self.vectors, self.graph, self.norms = vectors, graph, np.linalg.norm(vectors, axis=1)
 
-def shard_links(queries: np.ndarray, vectors: np.ndarray, graph: Graph, cosine: float, ef: int = EF, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) places of all links found, verified in double precision, after the audits."""
-    norms, qnorms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-    unit = (queries / qnorms[:, None]).astype(np.float32)
-    n = len(vectors)
-
-    def verified(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def verified(self, queries: np.ndarray, norms: np.ndarray, q: np.ndarray, v: np.ndarray, cosine: float) -> np.ndarray:
+        """Which pairs of places have at least this cosine."""
         out = np.zeros(len(q), dtype=bool)
         for at in range(0, len(q), 20_000):
             a, b = q[at : at + 20_000], v[at : at + 20_000]
-            out[at : at + 20_000] = np.einsum("kd,kd->k", queries[a], vectors[b]) / (qnorms[a] * norms[b]) >= cosine
+            out[at : at + 20_000] = np.einsum("kd,kd->k", queries[a], self.vectors[b]) / (norms[a] * self.norms[b]) >= cosine
         return out
 
-    found: dict[int, np.ndarray] = {}
-    nearest = np.full(len(queries), -np.inf)
-
-    def ask(which: np.ndarray, ef: int) -> None:
-        """Search with widening beams: a beam that holds nothing but links may have cut some off."""
-        while len(which):
-            again = []
-            size = max(16, QUERIES * EF // ef)
-            for at in range(0, len(which), size):
-                part = which[at : at + size]
-                if ef >= n:
-                    sims = unit[part] @ graph.unit.T
-                    ids = np.broadcast_to(np.arange(n), sims.shape)
-                else:
-                    ids, sims = graph.search(unit[part], ef)
-                hit = (sims >= cosine - SLACK) & (ids >= 0)
-                r, c = np.nonzero(hit)
-                ok = verified(part[r], ids[r, c])
-                groups = np.split(ids[r, c][ok], np.searchsorted(r[ok], np.arange(1, len(part))))
-                found.update(zip(part.tolist(), groups, strict=True))
-                ordered = np.sort(sims, axis=1)
-                nearest[part] = ordered[:, -2] if ordered.shape[1] > 1 else ordered[:, -1]
-                if ef < n:
-                    again.append(part[hit.all(axis=1)])
-            which, ef = np.concatenate(again) if again else np.zeros(0, dtype=int), min(n, 4 * ef)
-
-    everyone = np.arange(len(queries))
-    ask(everyone, min(ef, n))
+    def exact(self, queries: np.ndarray, norms: np.ndarray, cosine: float) -> np.ndarray:
+        """Links of a block of queries to all vectors, as a matrix; products that differ from the bound by rounding only
+        are taken again pair by pair, so that every way of searching decides alike."""
+        products, bound = queries @ self.vectors.T, cosine * norms[:, None] * self.norms[None, :]
+        hit = products >= bound
+        q, v = np.nonzero(np.abs(products - bound) <= 1e-12 * np.abs(bound))
+        hit[q, v] = self.verified(queries, norms, q, v, cosine)
+        return hit
+
+
+class Links:
+    """Links of a task: the weight of each node's partners, and the nodes' groups. Queries come after the vectors,
+    unless they are the vectors themselves."""
+
+    def __init__(self, copies: np.ndarray, asking: np.ndarray | None = None):
+        self.same, self.offset = asking is None, 0 if asking is None else len(copies)
+        self.copies = copies if asking is None else np.concatenate([copies, asking])
+        self.clear()
+
+    def clear(self) -> None:
+        self.sums = np.zeros(len(self.copies), dtype=np.int64)
+        self.label = np.arange(len(self.copies))
+
+    def add_rows(self, queries: np.ndarray, hit: np.ndarray, alone: np.ndarray | None = None) -> None:
+        """Complete rows of links. alone: for queries among the vectors, those whose own rows do not come: links to them
+        count on both sides here."""
+        q = queries + self.offset
+        if self.same:
+            hit[np.arange(len(q)), queries] = False
+        self.sums[q] += hit @ self.copies[: hit.shape[1]]
+        back = hit.T @ self.copies[q]
+        self.sums[: hit.shape[1]] += back if alone is None else np.where(alone, back, 0)
+        for k, row in zip(q.tolist(), hit, strict=True):
+            found = self.label[np.flatnonzero(row)]
+            if len(found) and (found != self.label[k]).any():
+                groups = np.unique(np.append(found, self.label[k]))
+                self.label[np.isin(self.label, groups)] = groups[0]
+
+    def add_pairs(self, q: np.ndarray, v: np.ndarray) -> None:
+        """Links as pairs, each once."""
+        np.add.at(self.sums, q + self.offset, self.copies[v])
+        np.add.at(self.sums, v, self.copies[q + self.offset])
+        parent: dict[int, int] = {}
+        spanning(self.label[q + self.offset].tolist(), self.label[v].tolist(), parent)
+        top = np.arange(len(self.label))
+        for x in sorted(parent):
+            top[x] = top[parent[x]]
+        self.label = top[self.label]
+
+
+def collect_links(queries: np.ndarray, shard: Shard, links: Links, cosine: float, ef: int = EF, audit: int = AUDIT) -> int:
+    """Add all links of the queries to a shard to `links`, after the audits; the beam's width that passed them."""
+    norms = np.linalg.norm(queries, axis=1)
+    unit = (queries / norms[:, None]).astype(np.float32)
+    n, own = len(shard.vectors), 2 if links.same else 1  # of queries among the vectors the nearest is the query itself
+    audit = min(len(queries), max(audit, len(queries) // AUDIT_SHARE))
     drawn = np.random.default_rng(len(queries)).permutation(len(queries))[:audit]
+
+    def ask(which: np.ndarray, width: int, nearest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries whose beam is full of links, query and vector of the others' links)."""
+        full, qs, vs = [], [], []
+        size = max(16, QUERIES * EF // width)
+        for at in range(0, len(which), size):
+            part = which[at : at + size]
+            ids, sims = shard.graph.search(unit[part], width)
+            hit = (sims >= cosine - SLACK) & (ids >= 0)
+            ordered = np.sort(sims, axis=1)
+            nearest[part] = ordered[:, -own] if ordered.shape[1] >= own else -np.inf
+            over = hit.all(axis=1)
+            full.append(part[over])
+            r, c = np.nonzero(hit & ~over[:, None])
+            q, v = part[r], ids[r, c]
+            ok = shard.verified(queries, norms, q, v, cosine)
+            qs.append(q[ok])
+            vs.append(v[ok])
+        return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (full, qs, vs))
+
+    def dense_rows(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(which), QUERIES // 2):
+            part = which[at : at + QUERIES // 2]
+            yield part, shard.exact(queries[part], norms[part], cosine)
+
     while True:
+        links.clear()
+        nearest = np.full(len(queries), -np.inf)
+        full, q, v = np.arange(len(queries)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for width in (ef, 4 * ef):
+            if width < n and len(full):
+                full, more_q, more_v = ask(full, width, nearest)
+                q, v = np.concatenate([q, more_q]), np.concatenate([v, more_v])
+        sparse = np.ones(len(queries), dtype=bool)
+        sparse[full] = False
         sample = np.unique(np.concatenate([drawn, np.argsort(-nearest, kind="stable")[:audit]]))
-        complete = all(np.array_equal(np.sort(found[k]), exact_links(vectors, norms, queries[k], qnorms[k], cosine)) for k in sample.tolist())
-        if complete or ef >= n:
+        sample = sample[sparse[sample]]
+        counts = np.bincount(q, minlength=len(queries))
+        if ef >= n or all((hit.sum(axis=1) == counts[part]).all() for part, hit in dense_rows(sample)):
             break
         ef = min(n, 4 * ef)
-        ask(everyone, ef)
-    order = sorted(found)
-    return np.repeat(np.array(order, dtype=np.int64), [len(found[k]) for k in order]), np.concatenate([found[k] for k in order] or [np.zeros(0, dtype=int)]).astype(np.int64)
+    for part, hit in dense_rows(full):
+        links.add_rows(part, hit, sparse if links.same else None)
+    if links.same:  # links between two of the others, found from either side, count once
+        both = (q != v) & sparse[v]
+        pairs = np.unique(np.minimum(q, v)[both] * n + np.maximum(q, v)[both])
+        q, v = pairs // n, pairs % n
+    links.add_pairs(q, v)
+    return ef
 
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,34 +172,40 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "data": [data], "graph": [pickle.dumps((graph.level, graph.links))]})
 
 
-def _load(data: bytes, graph: bytes | None = None):
+def _load(data: bytes, graph: bytes) -> tuple[np.ndarray, np.ndarray, Shard]:
     nodes, copies, vectors = pickle.loads(data)
-    if graph is None:
-        return nodes, copies, vectors, None
     made = Graph.__new__(Graph)
     made.level, made.links = pickle.loads(graph)
     made.unit = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32)
     made.inside = np.ones(len(vectors), dtype=bool)
-    return nodes, copies, vectors, made
+    return nodes, copies, Shard(vectors, made)
 
 
 def _search(cosine: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-        nodes, copies, vectors, graph = _load(right["data"][0], right["graph"][0])
-        same = left["a"][0] == left["b"][0]
-        asking, weight, queries, _ = (nodes, copies, vectors, None) if same else _load(left["data"][0])
-        q, v = shard_links(queries, vectors, graph, cosine)
-        if same:  # each pair once
-            pairs = np.unique(np.stack([np.minimum(q, v), np.maximum(q, v)], axis=1)[q != v], axis=0)
-            q, v = (pairs[:, 0], pairs[:, 1]) if len(pairs) else (q[:0], v[:0])
-        n = pd.concat([pd.Series(copies[v], index=asking[q]), pd.Series(weight[q], index=nodes[v])])
-        n = n.groupby(level=0).sum()
-        tree = [(a, b) for part in forest([pd.DataFrame({"u": asking[q], "v": nodes[v]})]) for a, b in zip(part["u"], part["v"], strict=True)]
-        u = np.array([*n.index, *[a for a, _ in tree]], dtype=np.int64)
-        other = pd.array([*[None] * len(n), *[b for _, b in tree]], dtype="Int64")
-        return pd.DataFrame({"u": u, "v": other, "n": np.array([*n, *[0] * len(tree)], dtype=np.int64)})
+    """Rows come by shard: its own with the graph first, then those of the shards that ask it."""
+
+    def answer(nodes: np.ndarray, links: Links) -> pa.RecordBatch:
+        counted, moved = np.flatnonzero(links.sums), np.flatnonzero(links.label != np.arange(len(links.label)))
+        u = np.concatenate([nodes[counted], nodes[moved]])
+        v = pa.array(np.concatenate([np.zeros(len(counted), dtype=np.int64), nodes[links.label[moved]]]), mask=np.arange(len(u)) < len(counted))
+        n = np.concatenate([links.sums[counted], np.zeros(len(moved), dtype=np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(n)], names=["u", "v", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = copies = shard = None
+        for batch in batches:
+            for graph, data in zip(batch.column(0), batch.column(1), strict=True):
+                if graph.is_valid:
+                    nodes, copies, shard = _load(data.as_py(), graph.as_py())
+                    links = Links(copies)
+                    collect_links(shard.vectors, shard, links, cosine)
+                    yield answer(nodes, links)
+                else:
+                    asking, weight, queries = pickle.loads(data.as_py())
+                    links = Links(copies, weight)
+                    collect_links(queries, shard, links, cosine)
+                    yield answer(np.concatenate([nodes, asking]), links)
+        release_memory()
 
     return run
 
@@ -151,11 +228,15 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kind = dict(dealt.dtypes)["label"]
     graphs = dealt.select("label", "dim", "shard", "node", "copies", "vector").groupBy("label", "dim", "shard").applyInPandas(_build, f"label {kind}, dim int, shard int, data binary, graph binary")
     graphs = scratch(graphs, "graphs").join(per, ["label", "dim"])
-    asks = graphs.select("label", "dim", F.col("shard").alias("a"), "data", F.explode(F.expr("sequence(shard, shards - 1)")).alias("b"))
-    asks = asks.withColumn("data", F.when(F.col("a") != F.col("b"), F.col("data")))
-    told = graphs.select(F.col("label").alias("label"), F.col("dim").alias("dim"), F.explode(F.expr("sequence(0, shard)")).alias("a"), F.col("shard").alias("b"), "data", "graph")
-    keys = ["label", "dim", "a", "b"]
-    found = scratch(asks.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(_search(cosine), "u long, v long, n long"), "links")
+    # of two shards one asks the other; each is asked by the half of the others that come after it, round a circle
+    ahead = F.expr("sequence(1, greatest(1, shards div 2))")
+    asks = graphs.where("shards > 1").select("label", "dim", F.col("shard").alias("a"), "shards", "data", F.explode(ahead).alias("step"))
+    asks = asks.where("2 * step < shards or a < step").withColumn("b", F.expr("(a + step) % shards"))
+    asks = asks.select("label", "dim", "b", F.col("a"), F.lit(None).cast("binary").alias("graph"), "data")
+    told = graphs.select("label", "dim", F.col("shard").alias("b"), F.lit(-1).alias("a"), "graph", "data")
+    keys = ["label", "dim", "b"]
+    met = told.unionByName(asks).repartition(max(1, 4 * graphs.count()), *keys).sortWithinPartitions(*keys, "a")
+    found = scratch(met.select("graph", "data").mapInArrow(_search(cosine), "u long, v long, n long"), "links")
     degree = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     moved = connected_components(found.where("v is not null").select("u", "v"))
     known = nodes.select("label", "vector", "copies", "least", "node").join(degree, "node", "left").join(moved, "node", "left")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, table, whole_row
+from .common import release_memory, scratch, small_batches, table, whole_row
 
 BUCKETS = 16384
 MAX_LABELLED = 8192
@@ -88,11 +88,12 @@ def count(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np
                 for found in features(t.as_py() or "", known, buckets):
                     total += np.bincount(found, minlength=buckets)
         known.clear()
-        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+        release_memory()
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with small_batches(docs.sparkSession):
+        rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, dtype=np.int64)
     for r in rows:  # at most `buckets` of them
         out[r["bucket"]] = r["n"]
@@ -122,7 +123,7 @@ def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             cols = [pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*names, "weight", "n"])
         known.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     chosen = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
     names = chosen.columns[:-1]
@@ -258,7 +259,7 @@ def kept_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             found = [model.weigh(t.as_py(), known) for t in part]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["w", "n"])
         known.clear()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     # only texts go to Python and only numbers come back; the other columns wait in the JVM
     rows = docs.select(whole_row(docs).alias("doc"), _tie(id_col, text_col, seed).alias("__tie"), weigh(F.col(text_col).cast("string")).alias("__found"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import release_memory, scratch
 
 WINDOW, END_ID = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 512, 2_000_000
@@ -341,7 +341,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
             df[end_id] = n_docs  # every document ends with it
             terms = np.flatnonzero(df)
             yield rows([[n_docs], [-1], [n_tokens], [terms.astype("<i8").tobytes()], [df[terms].astype("<i8").tobytes()]])
-        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+        release_memory()
 
     return docs.mapInArrow(run, "id long, pos long, n long, key binary, ids binary")
 
@@ -394,7 +394,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             packer.shard(names, held, corpus)
         packer.finish()
         yield packer.drain()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     # long documents have small hashes and gather in few ranges: many ranges keep the largest small
     ranges = max(1, -(-corpus.n_tokens // SHARD_TOKENS))

@@ -2,7 +2,8 @@
 
 Statistics of a text are one expression without a shuffle. The decision list is learned by sequential covering from
 labelled statistics: each rule is a conjunction of thresholds grown by FOIL gain on two thirds of the labelled rows and
-pruned on the rest; it is kept only if it stays precise there. Rules become one ordered conditional expression.
+pruned on the rest, where what is left must cover bad rows precisely; learning ends with the first rule that does not.
+Rules become one ordered conditional expression.
 Learning sees at most `max_labelled` labelled rows, chosen by a hash of their id (a bound, documented here), and these
 as counts of threshold cells.
 """
@@ -19,6 +20,8 @@ from .common import table, words
 
 MAX_LABELLED = 8192
 WINDOW = 5
+#: Quantiles of each class between which thresholds are set, and the least bad rows a rule must cover.
+POINTS, MIN_COVERED = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99), 3
 FEATURES = ("words", "mean_chars", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share")
 
 
@@ -99,15 +102,14 @@ Cell = tuple[tuple[int, ...], bool, int, int]
 def learn_rules(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9) -> list[Rule]:
     """Decision list for the class quality 0; labelled: statistics() with columns doc_id and quality.
 
-    No labelled rows of either class: no rules.
+    Thresholds lie half-way between neighbouring exact quantiles of the classes, so that reruns agree. Of equal gains the
+    first condition counts, of equally good prunings the shortest. No labelled rows of either class: no rules.
     """
     rows = labelled.select((F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prunes"), (F.col("quality") == 0).alias("bad"), *[c.alias(k) for k, c in _features().items()])
-    points = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    by_class = rows.groupBy("bad").agg(*[F.percentile_approx(f, points, 1000).alias(f) for f in FEATURES]).collect()
+    by_class = rows.groupBy("bad").agg(*[F.percentile(f, list(POINTS)).alias(f) for f in FEATURES]).collect()
     if len(by_class) < 2:
         return []
     seen = {f: sorted({float(x) for r in by_class for x in r[f]}) for f in FEATURES}
-    # thresholds lie half-way between quantiles, so a rule keeps a margin to both sides
     grid = {f: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for f, v in seen.items()}
     binned = [sum([(F.col(f) > t).cast("int") for t in grid[f]], F.lit(0)).alias(f) for f in FEATURES]
     cells = rows.select("prunes", "bad", *binned).groupBy("prunes", *FEATURES).agg(F.sum(F.col("bad").cast("int")).alias("b"), F.count("*").alias("n")).collect()
@@ -148,8 +150,7 @@ def learn_rules(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3
 
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)))
         p, n = total(cover(rule, data), True)
-        p2, n2 = total(cover(rule, data), False)
-        if p + p2 < 3 or p + p2 < min_precision * (p + p2 + n + n2):
+        if not p or p < min_precision * (p + n) or p + total(cover(rule, data), False)[0] < MIN_COVERED:
             break
         rules.append(rule)
         data = [c for c in data if not all(holds(x, c) for x in rule)]

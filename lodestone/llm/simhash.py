@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, join_counted, scratch, whole_row
+from .common import NULL_ID, join_counted, release_memory, scratch, whole_row
 from .components import connected_components
 
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = np.array([fingerprint_of(t.as_py()) for t in b.column(b.num_columns - 1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=names)
-        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+        release_memory()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
     schema = chosen.drop("text").schema.add("fp", "long")

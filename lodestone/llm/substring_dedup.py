@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, join_counted, scratch
+from .common import NULL_ID, join_counted, release_memory, scratch
 
 LENGTH, GRAM = 100, 40
 #: Phrases that a task sorts at a time, and the most around one trigger.
@@ -148,7 +148,7 @@ def _phrases(length: int, gram: int, hot: np.ndarray):
             c = np.array(out_c, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(out_g, dtype=np.int64)), pa.array(c), pa.array(np.array(out_doc, dtype=np.int64)), pa.array(np.array(out_place, dtype=np.int64)), pa.array(state, pa.int8())], names=["g", "c", "doc", "place", "state"])
         known.clear()
-        pa.default_memory_pool().release_unused()  # workers live on beyond the task
+        release_memory()
 
     return run
 
@@ -256,7 +256,7 @@ def _sorted_repeats(length: int):
         if held and size:
             for part in _whole_groups(pa.concat_tables(held)):
                 yield settle(part)
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return run
 

@@ -3,20 +3,22 @@
 Features are the distinct 3- to 6-grams of the lower-cased text, hashed to 2**20 buckets. Class counts of the training
 rows are summed in Spark; the buckets that tell the classes apart best (likelihood ratio) are kept, each scaled by its
 log-count ratio, and a logistic model with an L2 penalty is fitted to them. Training sees at most `max_labelled`
-labelled rows, chosen by a hash of their id (a documented bound). Scoring is one pass over whole texts.
+labelled rows, chosen by a hash of their id (a documented bound). Scoring is one pass over whole texts; long ones are
+taken BLOCK characters at a time, so that a task holds the text and its distinct features and not all n-grams at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import release_memory, scratch, table
 
 BITS, SIZES = 20, (3, 4, 5, 6)
 MAX_LABELLED, MAX_FEATURES, MIN_DOCS = 8192, 8192, 3
@@ -27,36 +29,65 @@ _GAP = "\0" * (SIZES[-1] - 1)
 BLOCK = 200_000
 
 
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document number, bucket) of every n-gram of the texts, repeats included, size by size; none spans two texts."""
-    joined = _GAP + _GAP.join(t.lower() for t in texts) + _GAP
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    lengths = np.array([len(t.lower()) for t in texts]) + len(_GAP)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    rolled = code
+def _hashed(code: np.ndarray, starts: int) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams that begin at the first `starts` places, size by size."""
+    rolled = code.astype(np.uint64)
+    code = rolled
     for n in range(2, SIZES[-1] + 1):
         rolled = rolled[:-1] * _STEP + code[n - 1 :]
         if n in SIZES:
-            buckets = ((rolled + np.uint64(n)) * _MIX) >> np.uint64(64 - BITS)
-            yield owner, buckets[: len(owner)].astype(np.int64)
+            yield (((rolled + np.uint64(n)) * _MIX) >> np.uint64(64 - BITS))[:starts].astype(np.int64)
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(number of the first, texts) in blocks of about BLOCK characters; texts stay whole."""
+def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(number of the first text, texts, text, bucket) of every n-gram, repeats included; none spans two texts.
+
+    Short texts come together in blocks, long ones in several blocks of their own.
+    """
+    low = [t.lower() for t in texts]
     at, size = 0, 0
-    for k, t in enumerate(texts):
+    for k, t in enumerate(low):
         size += len(t)
-        if size >= BLOCK or k == len(texts) - 1:
-            yield at, texts[at : k + 1]
+        if size >= BLOCK or k == len(low) - 1:
+            part = low[at : k + 1]
+            if size < 2 * BLOCK:
+                code = np.frombuffer((_GAP + _GAP.join(part) + _GAP).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                owner = np.repeat(np.arange(len(part), dtype=np.int64), [len(x) + len(_GAP) for x in part])
+                for buckets in _hashed(code, len(owner)):
+                    yield at, len(part), owner, buckets
+            else:
+                for j, x in enumerate(part):
+                    stream = _GAP + x + _GAP
+                    for a in range(0, len(stream) - len(_GAP), BLOCK):
+                        piece = stream[a : a + BLOCK + len(_GAP)]
+                        starts = len(piece) - len(_GAP)
+                        for buckets in _hashed(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4"), starts):
+                            yield at + j, 1, np.zeros(starts, dtype=np.int64), buckets
             at, size = k + 1, 0
 
 
+def distinct(texts: list[str], choose) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, distinct features in order) of each text with n-grams; choose maps buckets to features, below 0 for none."""
+    for (at, count), found in groupby(grams(texts), key=lambda x: x[:2]):
+        held, size = [], 0
+        for _, _, owner, buckets in found:
+            feature = choose(buckets)
+            hit = np.flatnonzero(feature >= 0)
+            held.append(owner[hit] << 32 | feature[hit])
+            size += len(hit)
+            if size > 8 * BLOCK:
+                held, size = [np.unique(np.concatenate(held))], 0
+        keys = np.unique(np.concatenate(held))
+        cuts = np.searchsorted(keys, np.arange(count + 1) << 32)
+        for k in range(count):
+            yield at + k, keys[cuts[k] : cuts[k + 1]] & 0xFFFFFFFF
+
+
 def present(texts: list[str]) -> list[np.ndarray]:
     """Distinct buckets of each text."""
-    out = []
-    for _, part in blocks(texts):
-        keys = np.unique(np.concatenate([o << BITS | b for o, b in grams(part)]))
-        out += np.split(keys & ((1 << BITS) - 1), np.searchsorted(keys, np.arange(1, len(part)) << BITS))
+    out = [np.zeros(0, dtype=np.int64)] * len(texts)
+    for k, found in distinct(texts, lambda buckets: buckets):
+        out[k] = found
     return out
 
 
@@ -74,14 +105,8 @@ class Model:
 
     def scores(self, texts: list[str], where: np.ndarray) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        for at, part in blocks(texts):
-            keys = []
-            for owner, buckets in grams(part):
-                place = where[buckets]
-                hit = np.nonzero(place >= 0)[0]
-                keys.append(owner[hit] << 32 | place[hit])
-            found = np.unique(np.concatenate(keys))
-            out[at : at + len(part)] += np.bincount(found >> 32, weights=self.weights[found & 0xFFFFFFFF], minlength=len(part))
+        for k, found in distinct(texts, where.__getitem__):
+            out[k] += self.weights[found].sum()
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -185,6 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         where = model.table()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores([t.as_py() or "" for t in b.column(1)], where))], names=["id", "score"])
+        release_memory()
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, score double")

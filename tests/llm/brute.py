@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -110,3 +112,120 @@ def lines(docs, window=2, long_words=50):
                 seen.add(key)
         out[i] = None if text is None else "\n".join(x for k, x in enumerate(raw) if k not in gone)
     return out
+
+
+def decision_list(rows, points, max_rules=8, max_conditions=3, min_precision=0.9, min_covered=3):
+    """Sequential covering over single rows (values by feature, bad, prunes); a list of lists of (feature, above, threshold)."""
+    features = list(rows[0][0]) if rows else []
+    classes = [[x for x in rows if x[1] == y] for y in (False, True)]
+    if not all(classes):
+        return []
+    grid = {}
+    for f in features:
+        seen = sorted({float(q) for c in classes for q in np.percentile([x[0][f] for x in c], [100 * p for p in points])})
+        grid[f] = [(a + b) / 2 for a, b in zip(seen, seen[1:])]
+    tests = [(f, above, t) for f in features for t in grid[f] for above in (False, True)]
+    fires = lambda rule, x: all((x[0][f] > t) == above for f, above, t in rule)
+    count = lambda rule, rows, prunes: [sum(fires(rule, x) and x[2] == prunes and x[1] == y for x in rows) for y in (True, False)]
+    rules, left = [], rows
+    while len(rules) < max_rules:
+        rule = []
+        while len(rule) < max_conditions:
+            p0, n0 = count(rule, left, False)
+            if not p0 or not n0:
+                break
+            best, most = None, 1e-9
+            for t in tests:
+                p, n = count([*rule, t], left, False)
+                gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else 0
+                if gain > most + 1e-12:
+                    best, most = t, gain
+            if best is None:
+                break
+            rule.append(best)
+        if not rule:
+            break
+        worth = []
+        for k in range(1, len(rule) + 1):
+            p, n = count(rule[:k], left, True)
+            worth.append((p - n) / (p + n) if p + n else -1)
+        rule = rule[: 1 + worth.index(max(worth))]
+        p, n = count(rule, left, True)
+        if not p or p < min_precision * (p + n) or p + count(rule, left, False)[0] < min_covered:
+            break
+        rules.append(rule)
+        left = [x for x in left if not fires(rule, x)]
+    return rules
+
+
+def _tokens(text):
+    return re.findall(r"\w+|[^\w\s]+", (text or "").lower())
+
+
+def importance(rows, good, buckets, seed):
+    """{(id, text): (weight, n-grams, key)} of (id, text) rows against the texts in good, from the definitions."""
+
+    def grams(text):
+        one = [zlib.crc32(t.encode()) for t in _tokens(text)]
+        all_ = one + [(a * 0x9E3779B97F4A7C15 + b + 1) % 2**64 for a, b in zip(one, one[1:])]
+        return [(x * 0xD6E8FEB86659FD93 % 2**64 >> 33) % buckets for x in all_]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for _, t in rows:
+        raw.update(grams(t))
+    for t in good:
+        target.update(grams(t))
+    p = lambda c, b: (c[b] + 0.5) / (sum(c.values()) + 0.5 * buckets)
+    ratio = {b: math.log(p(target, b) / p(raw, b)) for b in raw}
+    out = {}
+    for i, t in rows:
+        h = xxhash.xxh64_intdigest(seed.encode(), 42)
+        h = h if i is None else xxhash.xxh64_intdigest(str(i).encode(), h)
+        inner = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+        h = xxhash.xxh64_intdigest(inner.to_bytes(8, "little"), h)
+        uniform = ((h >> 16) + 0.5) / 2**48
+        g = grams(t)
+        w = sum(ratio[b] for b in g)
+        out[i, t] = (w, len(g), w - math.log(-math.log(uniform)) if g else -1e300)
+    return out
+
+
+def toxicity(train, texts, max_features, min_docs, penalty=1.0):
+    """Scores of texts by a logistic model over distinct character 3- to 6-grams times their log-count ratios; Newton's method."""
+
+    def grams(text):
+        s = "\0" * 5 + (text or "").lower() + "\0" * 5
+        out = set()
+        for at in range(len(s) - 5):
+            h = ord(s[at])
+            for n in range(2, 7):
+                if at + n > len(s):
+                    break
+                h = (h * 0x9E3779B97F4A7C15 + ord(s[at + n - 1])) % 2**64
+                if n >= 3:
+                    out.add(((h + n) * 0xD6E8FEB86659FD93 % 2**64) >> 44)
+        return out
+
+    sets, y = [grams(t) for t, _ in train], np.array([float(v) for _, v in train])
+    pos, neg = y.sum(), len(y) - y.sum()
+    p, q = collections.Counter(), collections.Counter()
+    for s, v in zip(sets, y):
+        (p if v else q).update(s)
+
+    def gain(b):
+        share = pos / len(y)
+        cells = [(p[b], (p[b] + q[b]) * share), (q[b], (p[b] + q[b]) * (1 - share)), (pos - p[b], (len(y) - p[b] - q[b]) * share), (neg - q[b], (len(y) - p[b] - q[b]) * (1 - share))]
+        return sum(o * math.log(o / e) for o, e in cells if o > 0)
+
+    chosen = sorted((b for b in {*p, *q} if p[b] + q[b] >= min_docs), key=lambda b: (-round(gain(b), 9), b))[:max_features]
+    scale = np.array([math.log((p[b] + 1) / (pos + 2)) - math.log((q[b] + 1) / (neg + 2)) for b in chosen])
+    matrix = lambda sets: np.array([[b in s for b in chosen] for s in sets]) * scale
+    x = np.concatenate([matrix(sets), np.ones((len(y), 1))], axis=1)
+    w, ridge = np.zeros(len(chosen) + 1), np.diag([penalty] * len(chosen) + [0.0])
+    for _ in range(100):
+        e = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x * (e * (1 - e))[:, None]).T @ x + ridge + 1e-12 * np.eye(len(w)), x.T @ (e - y) + ridge @ w)
+        w -= step
+        if abs(step).max() < 1e-10:
+            break
+    return 1 / (1 + np.exp(-(np.concatenate([matrix([grams(t) for t in texts]), np.ones((len(texts), 1))], axis=1) @ w)))
