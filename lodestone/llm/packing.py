@@ -115,7 +115,7 @@ class Pieces(dict):
         plain = pieces.take(pa.array(at))
         stems = pc.utf8_lower(pc.utf8_rtrim(plain, characters=_MARKS)).dictionary_encode()
         mark = pc.index_in(pc.utf8_slice_codeunits(plain, -1), value_set=pa.array(list(_MARKS))).fill_null(-1).to_numpy(zero_copy_only=False)
-        held = [*map(self.__getitem__, stems.dictionary.to_pylist()), *map(self.any_piece, pieces.take(pa.array(rest)).to_pylist())]
+        held = [*map(self.__getitem__, _strings(stems.dictionary)), *map(self.any_piece, _strings(pieces.take(pa.array(rest))))]
         lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 4
         pool = np.frombuffer(b"".join(held), dtype="<u4")
         source = np.empty(n, dtype=np.int64)
@@ -162,6 +162,11 @@ class Pieces(dict):
         return next(self.encode(pa.array([text])))
 
 
+def _strings(found: pa.Array) -> list[str]:
+    """As to_pylist(), without a scalar for each."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
 def _steps(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, one after the other."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
