@@ -18,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 NULL_ID = (1 << 63) - 1
 #: Most bytes of an Arrow batch: executors hold a few per task, in the JVM and in Python.
 ARROW_BYTES = str(8 << 20)
+FILE_ROWS = 50_000
 _WRITTEN: list[str] = []
 
 
@@ -54,15 +55,17 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Unlike Dataset.checkpoint() it runs the plan once and is stored compressed and by column.
+    rows: a bound of the number of rows, if it is known; a table is not written to more files than one per FILE_ROWS of
+    them, so that small ones do not become a file for every shuffle partition. Unlike Dataset.checkpoint() it runs the
+    plan once and is stored compressed and by column.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -67,9 +67,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     links = links.where("u is not null and v is not null and u <> v")
     edges = scratch(links.select("u", "v").mapInArrow(forest, EDGES), "forest")
-    before = None
+    before, n = None, edges.count()
     for _ in range(max_rounds):
-        edges = scratch(_small_star(_large_star(edges)), "stars")
+        edges = scratch(_small_star(_large_star(edges)), "stars", n)  # a round never adds links
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -68,14 +68,15 @@ def _extended(met: DataFrame, window: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(__id, __row, gone array<int>): places, among the lines with words, that lie in a repeated run."""
     found = scratch(fingerprints(docs, id_col, text_col, window, long_words), "line-fingerprints")
+    n = found.count()
     # join positions: fingerprints that occur at one place only stand for no repeat
     place = F.struct("__id", "__row", "at")
     often = found.groupBy("single", "fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("single", "fp", "n")
     # extend both ways: equal lines around a fingerprint make equal runs; the first of each stays
-    met = scratch(_extended(join_counted(found, scratch(often, "line-repeats"), ["single", "fp"]), window), "line-runs")
+    met = scratch(_extended(join_counted(found, scratch(often, "line-repeats", n // 2), ["single", "fp"]), window), "line-runs", n)
     start = F.struct("__id", "at")
     first = met.groupBy("single", "run").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    later = join_counted(met, scratch(first, "first-runs"), ["single", "run"]).where(start > F.col("first"))
+    later = join_counted(met, scratch(first, "first-runs", n // 2), ["single", "run"]).where(start > F.col("first"))
     covered = F.explode(F.sequence(F.col("at"), F.col("at") + F.when(F.col("single"), 0).otherwise(window - 1)))
     return later.select("__id", "__row", covered.alias("p")).groupBy("__id", "__row").agg(F.collect_set("p").alias("gone"))
 

@@ -73,7 +73,7 @@ def cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, rows_per_range: i
     # rows alike in id and text share what is left at the cut
     at = at.select(*source, F.col("__key").alias("__cut"), F.expr("(__rest - run) div n").alias("__part"))
     # written, so that the joins that follow know how small it is
-    return scratch(aim.join(at, source, "left").select(*source, "__total", "__target", "__epochs", "__cut", "__part"), "cuts")
+    return scratch(aim.join(at, source, "left").select(*source, "__total", "__target", "__epochs", "__cut", "__part"), "cuts", aim.count())
 
 
 def _taken() -> Column:

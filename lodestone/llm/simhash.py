@@ -95,7 +95,8 @@ def group_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the anchors cover links of at most 3 bits")
-    fps = scratch(_halves(fps.select("fp", "rep")), "fingerprints")
+    n = fps.count()
+    fps = scratch(_halves(fps.select("fp", "rep")), "fingerprints", n)
     if max_bits >= 2:  # same half here, same anchor there: at most two bits apart
         near = None
         for k in (0, 1):
@@ -104,7 +105,7 @@ def group_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             near = part if near is None else near.unionByName(part)
         grown = connected_components(near)
         fps = fps.join(grown, fps["rep"] == grown["node"], "left").select("fp", "rep", "h0", "h1", "a0", "a1", F.coalesce("component", "rep").alias("part"))
-        fps = scratch(fps, "parts")
+        fps = scratch(fps, "parts", n)
     else:
         fps = fps.withColumn("part", F.col("rep"))
     reach = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in REACH])
@@ -134,7 +135,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = scratch(fingerprints(docs, id_col, text_col), "doc-fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     # an id may occur under several fingerprints: a representative must be one fingerprint's own, hence ranks by fp
-    reps = scratch(reps.withColumn("rep", F.coalesce("least", F.lit(NULL_ID))), "representatives")
+    n = fps.count()
+    reps = scratch(reps.withColumn("rep", F.coalesce("least", F.lit(NULL_ID))), "representatives", n)
     clash = reps.groupBy("rep").agg(F.count("*").alias("n"), F.min("fp").alias("first")).where("n > 1")
     if clash.isEmpty():
         found = group_fingerprints(reps, max_bits)
@@ -145,7 +147,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least = own.groupBy("g").agg(F.min("least").alias("component"))
         moved = own.join(least, "g").select("fp", "component")
     known = reps.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n")
-    return join_counted(fps, scratch(known, "groups"), ["fp"]).select("id", "fp", "component")
+    return join_counted(fps, scratch(known, "groups", n), ["fp"]).select("id", "fp", "component")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
@@ -155,14 +157,15 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key, row = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__row")
     keyed = docs.select(key, row, whole_row(docs).alias("doc"))
     fps = scratch(fingerprints(docs.select(key, row, F.col(text_col).alias("text")), "__id", "text", ("__row",)), "doc-fingerprints")
-    reps = scratch(fps.groupBy("fp").agg(F.min(F.struct("id", "__row")).alias("least")).select("fp", "least"), "representatives")
+    n = fps.count()
+    reps = scratch(fps.groupBy("fp").agg(F.min(F.struct("id", "__row")).alias("least")).select("fp", "least"), "representatives", n)
     found = group_fingerprints(reps.select("fp", F.col("fp").alias("rep")), max_bits)
     own = reps.join(found.withColumnRenamed("rep", "fp"), "fp", "left").withColumn("g", F.coalesce("component", "fp"))
     stay = own.groupBy("g").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.__row").alias("__row"))
-    copies = scratch(fps.groupBy(F.col("id").alias("__id"), "__row").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    copies = scratch(fps.groupBy(F.col("id").alias("__id"), "__row").agg(F.count("*").alias("n")).where("n > 1"), "copies", n // 2)
     if copies.isEmpty():
         return keyed.join(stay, ["__id", "__row"], "left_semi").select("doc.*")
-    stay = scratch(stay.join(copies.select("__id", "__row", F.lit(True).alias("many")), ["__id", "__row"], "left"), "stay")
+    stay = scratch(stay.join(copies.select("__id", "__row", F.lit(True).alias("many")), ["__id", "__row"], "left"), "stay", n)
     once = keyed.join(stay.where("many is null"), ["__id", "__row"], "left_semi").select("doc")
     # of equal rows each task sends one
     often = keyed.join(stay.where("many"), ["__id", "__row"], "left_semi").groupBy("__id", "__row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")

@@ -324,7 +324,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     strings = scratch(phrases.where(F.col("m") > most_sorted).select("doc", "place", "phrase").mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long"), "strings")
     start = F.struct("doc", "start")
     earliest = strings.groupBy("h", "h2").agg(F.min(start).alias("a"), F.count("*").alias("n")).where("n > 1")
-    many = join_counted(strings, scratch(earliest, "first-strings"), ["h", "h2"]).where(start > F.col("a")).select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
+    many = join_counted(strings, scratch(earliest, "first-strings", strings.count()), ["h", "h2"]).where(start > F.col("a")).select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(few).unionByName(many)
 
 
