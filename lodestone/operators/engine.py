@@ -35,8 +35,8 @@ class RetrievalEngine:
     def __post_init__(self):
         scoring.check_weights(self.vector_weight, self.keyword_weight)
         self.store = VectorStore(self.spark, f"{self.path}/vectors")
-        self.docs = VersionedTable(self.spark, f"{self.path}/docs", DOCS)
-        self.catalogue = VersionedTable(self.spark, f"{self.path}/catalogue", CATALOGUE)
+        self.docs = VersionedTable(self.spark, f"{self.path}/docs", DOCS, key="source_path")
+        self.catalogue = VersionedTable(self.spark, f"{self.path}/catalogue", CATALOGUE, key="path")
         self.ready = False
 
     def initialize(self) -> RetrievalEngine:
@@ -72,10 +72,11 @@ class RetrievalEngine:
             rows = result.collect()  # one row per path that the caller listed
             good = [x["path"] for x in rows if x["is_success"]]
             if good:
-                new = records.where(F.col("source_path").isin(good))
+                paths = self.spark.createDataFrame([(p,) for p in dict.fromkeys(good)], "source_path string")
+                new = records.join(paths, "source_path", "left_semi")
                 self.store.replace_source_paths(new.select("id", "source_path", "content", "embedding", "embedding_type", "metadata"))
-                kept = self.docs.read().where(~F.col("source_path").isin(good))
-                self.docs.replace(kept.unionByName(new.select("id", "source_path", "content", "metadata")))
+                texts_only = new.select("id", "source_path", "content", "metadata")
+                self.docs.update(lambda old: old.join(paths, "source_path", "left_anti").unionByName(texts_only), lambda _: paths)
             self._note(rows)
             return self.spark.createDataFrame(rows, "position int, path string, is_success boolean, indexed_record_count int, message string")
         finally:
@@ -106,14 +107,14 @@ class RetrievalEngine:
     def remove_file(self, path: str) -> None:
         self._guard()
         self.store.delete_by_source_path(path)
-        self.docs.replace(self.docs.read().where(F.col("source_path") != path))
-        self.catalogue.replace(self.catalogue.read().where(F.col("path") != path))
+        for table, column in ((self.docs, "source_path"), (self.catalogue, "path")):
+            table.update(lambda old, c=column: old.where(F.col(c) != path), lambda old, c=column: old.where(F.col(c) == path).select(c))
 
     def _note(self, rows: list) -> None:
         """Catalogue upsert by path."""
         last = {r["path"]: r for r in rows}
         new = self.spark.createDataFrame([(p, p.replace("\\", "/").rsplit("/", 1)[-1], "indexed" if r["is_success"] else "failed", r["indexed_record_count"], r["message"]) for p, r in last.items()], CATALOGUE)
-        self.catalogue.replace(self.catalogue.read().join(new, "path", "left_anti").select(*new.columns).unionByName(new))
+        self.catalogue.update(lambda old: old.join(new, "path", "left_anti").select(*new.columns).unionByName(new), lambda _: new.select("path"))
 
     def catalogue_status(self) -> DataFrame:
         return self.catalogue.read().groupBy("status").agg(F.count("*").alias("files"), F.sum("indexed_record_count").alias("records"))
@@ -174,7 +175,7 @@ class RetrievalEngine:
     def _clear(self, space: str, data_type: str) -> None:
         self._guard()
         self.store.clear(space)
-        self.docs.replace(self.docs.read().where(F.try_element_at("metadata", F.lit("data_type")) != data_type))
+        self.docs.update(lambda old: old.where(F.try_element_at("metadata", F.lit("data_type")) != data_type))
 
 
 def _extension():

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -89,16 +89,21 @@ class VectorStore:
     spark: SparkSession
     path: str
     spaces: dict[str, int] = field(default_factory=lambda: dict(SPACES))
+    #: Parts of a new store; a change rewrites those of the paths that it touches.
+    buckets: int = 8
 
     def __post_init__(self):
-        self.table = VersionedTable(self.spark, self.path, SCHEMA, ("embedding_type",))
+        self.table, self.open = VersionedTable(self.spark, self.path, SCHEMA, ("embedding_type",), "source_path", self.buckets), True
 
     def initialize(self) -> VectorStore:
-        """Create an empty store unless there is one."""
+        """Create an empty store unless there is one; opens a disposed store again."""
         self.table.create()
+        self.open = True
         return self
 
     def read(self) -> DataFrame:
+        if not self.open:
+            raise RuntimeError("the store is disposed of")
         return self.table.read()
 
     def _checked(self, docs: DataFrame) -> DataFrame:
@@ -112,36 +117,50 @@ class VectorStore:
         user = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("source_path", "embedding_type", "embedding_dimension"))
         return checked.select("id", "source_path", "content", "embedding", F.map_concat(user, own).alias("metadata"), F.size("embedding").alias("embedding_dimension"), "embedding_type")
 
+    def _once(self, docs: DataFrame) -> DataFrame:
+        """One of the rows that share id and space: the one with the least hash of its values."""
+        order = Window.partitionBy("id", "embedding_type").orderBy(F.xxhash64("source_path", "content", "embedding"))
+        return self._checked(docs).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
     def add_documents(self, docs: DataFrame) -> None:
-        """Validate all rows, then add them in one change; an invalid row stops it."""
-        new = self._checked(docs)
-        old = self.read().join(new.select("id", "embedding_type"), ["id", "embedding_type"], "left_anti")
-        self.table.replace(old.unionByName(new))
+        """Validate all rows, then add them in one change; an invalid row stops it. Rows with an id and space that are
+        there replace the old ones; of several such rows in docs one is taken."""
+        self.read()
+        new = self._once(docs)
+        same = ["id", "embedding_type"]
+        old_paths = lambda old: old.join(new.select(*same), same, "left_semi").select("source_path")
+        self.table.update(lambda old: old.join(new.select(*same), same, "left_anti").unionByName(new), lambda old: old_paths(old).union(new.select("source_path")))
 
     def delete_document(self, doc_id: str) -> None:
         if not doc_id.strip():
             raise ValueError("an id is needed")
-        self.table.replace(self.read().where(F.col("id") != doc_id))
+        self.read()
+        self.table.update(lambda old: old.where(F.col("id") != doc_id), lambda old: old.where(F.col("id") == doc_id).select("source_path"))
 
     def delete_by_source_path(self, path: str) -> None:
         if not path.strip():
             raise ValueError("a path is needed")
-        self.table.replace(self.read().where(F.col("source_path") != path))
+        self.read()
+        self.table.update(lambda old: old.where(F.col("source_path") != path), lambda old: old.where(F.col("source_path") == path).select("source_path"))
 
     def replace_source_paths(self, docs: DataFrame) -> None:
         """Delete all rows of the paths in docs and add docs, in one change."""
-        new = self._checked(docs)
-        self.table.replace(self.read().join(new.select("source_path").distinct(), "source_path", "left_anti").unionByName(new))
+        self.read()
+        new = self._once(docs)
+        paths = new.select("source_path").distinct()
+        self.table.update(lambda old: old.join(paths, "source_path", "left_anti").unionByName(new), lambda _: paths)
 
     def clear(self, space: str) -> None:
         self._space(space)
-        self.table.replace(self.read().where(F.col("embedding_type") != space))
+        self.read()
+        self.table.update(lambda old: old.where(F.col("embedding_type") != space))
 
     def count(self, space: str) -> int:
         return self.read().where(F.col("embedding_type") == self._space(space)).count()
 
     def dispose(self) -> None:
-        self.spark.catalog.clearCache()
+        """Give the store up; what it holds stays on disk."""
+        self.open = False
 
     def _space(self, space: str) -> str:
         if space not in self.spaces:

@@ -7,6 +7,8 @@ and to the query of the same number: a pairing made up for these tables.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +131,12 @@ def sql_fused(vector: str, keyword: str, k: int, vw: float = 0.3, kw: float = 0.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lodestone").rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local master gets
+    one of its own; a cluster has no folder that may be guessed."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+    return (found or f"{tempfile.gettempdir()}/lodestone").rstrip("/")
 
 
 def stream_source(spark: SparkSession, path: str) -> tuple[str, str]:

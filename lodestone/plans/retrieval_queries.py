@@ -14,7 +14,7 @@ from ..operators.keyword_index import KeywordIndex, matches
 from ..operators.vector_store import knn
 from ..sources import files
 from . import corpus as C
-from .text_queries import index, written_index
+from .text_queries import CHUNKS, index, written_index
 
 Q: dict = {}
 S: dict = {}
@@ -156,11 +156,6 @@ def _(spark, sf):
     return rounded(r.by_embedding(_searched(spark, sf), 5, {"data_type": "image"}), "distance", "vector_score")
 
 
-@query("space_count", "select 'bert' as space, count(*) as n from embeddings")
-def _(spark, sf):
-    return C.vectors(spark, sf).groupBy(F.lit("bert").alias("space")).agg(F.count("*").alias("n"))
-
-
 # -- fusion -------------------------------------------------------------------------------------------------------------
 
 
@@ -335,12 +330,6 @@ def _(spark, sf):
     return _state(index(spark, sf).clear())
 
 
-@query("catalog_status", f"with {C.RECORDS} select case when trim(content) <> '' then 'indexed' else 'failed' end as status, count(*) as n from records group by 1")
-def _(spark, sf):
-    ok = F.coalesce(F.trim("content") != "", F.lit(False))
-    return C.records(spark, sf).groupBy(F.when(ok, "indexed").otherwise("failed").alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("batch_progress", f"with {C.RECORDS} select id::int as position, row_number() over (order by id::int) as processed_count, (select count(*) from records) as total_count, content is not null as is_success from records")
 def _(spark, sf):
     r = C.records(spark, sf).select(F.col("id").cast("int").alias("position"), F.col("source_path").alias("path"), F.col("content").isNotNull().alias("is_success"))
@@ -353,7 +342,7 @@ def _(spark, sf):
     return p.groupBy("path_id").agg(F.count_distinct("source_path").alias("n_paths")).where("n_paths > 1")
 
 
-@query("streaming_ingest")
+@query("streaming_ingest", f"with {CHUNKS} select lower(trim(regexp_replace(p, '[^a-zA-Z0-9]+', '_', 'g'), '_')) || '_chunk_' || chunk_index as id, p as source_path, md5(chunk) as content_md5 from (select *, concat_ws('/', source, 'doc_' || doc_id || '.txt') as p from chunks join documents using (doc_id))")
 def _(spark, sf):
     """A finite stream of the documents through chunking and upsert: equals the batch chunking (see the tests)."""
     from ..sources.versioned import VersionedTable
@@ -363,6 +352,6 @@ def _(spark, sf):
     folder, names = C.stream_source(spark, f"{sf}/documents.parquet")
     stream = spark.readStream.schema(C.table(spark, sf, "documents").schema).option("pathGlobFilter", names).parquet(folder)
     docs = stream.select(F.concat_ws("/", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
-    table = VersionedTable(spark, f"{base}/chunks", ingest.CHUNKS)
+    table = VersionedTable(spark, f"{base}/chunks", ingest.CHUNKS, key="source_path")
     ingest.ingest(docs, table, f"{base}/checkpoint").awaitTermination()
     return table.read().select("id", "source_path", F.md5("content").alias("content_md5"))

@@ -76,9 +76,7 @@ def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr
     def one(path: str, kind: str, data: bytes) -> dict:
         row = dict.fromkeys(columns) | {"path": path, "is_success": True, "file_type": kind}
         try:
-            if kind == "txt":
-                row["extracted_text"] = data.decode("utf-8")
-            elif kind == "docx":
+            if kind == "docx":
                 row["extracted_text"] = docx(data)
             elif kind == "pdf":
                 if pdf is None:
@@ -91,8 +89,6 @@ def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr
                 if ocr is None:
                     raise RuntimeError("no OCR engine is installed")
                 row["extracted_text"] = ocr(data).strip()
-            else:
-                row |= {"is_success": False, "error_code": ERR_UNSUPPORTED, "error_message": f"not supported: {path}"}
         except Exception as e:  # a file's failure is its own row
             row |= {"is_success": False, "error_code": ERR_CRASH, "error_message": str(e)}
         return row
@@ -105,7 +101,17 @@ def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr
             out = pd.DataFrame(rows, columns=columns, dtype=object)
             yield out.astype({"page_count": "Int32", "width": "Int32", "height": "Int32"})
 
-    return files.select("path", file_type(F.col("path")).alias("kind"), "content").mapInPandas(run, RESULT)
+    kinds = files.select("path", file_type(F.col("path")).alias("kind"), "content")
+    # plain text and unknown files stay in the JVM; only documents and images go to Python
+    text, none = F.col("content").cast("string"), lambda kind: F.lit(None).cast(kind)
+    known, whole = F.col("kind") == "txt", F.coalesce(F.is_valid_utf8(text), F.lit(False))
+    plain = kinds.where("kind in ('txt', 'unknown')").select(
+        "path", (known & whole).alias("is_success"), F.col("kind").alias("file_type"), F.when(known & whole, text).alias("extracted_text"),
+        none("int").alias("page_count"), none("int").alias("width"), none("int").alias("height"),
+        F.when(~known, ERR_UNSUPPORTED).when(~whole, ERR_CRASH).alias("error_code"),
+        F.when(~known, F.concat(F.lit("not supported: "), "path")).when(~whole, "the text is not UTF-8").alias("error_message"),
+    )
+    return plain.unionByName(kinds.where("kind not in ('txt', 'unknown')").mapInPandas(run, RESULT))
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -15,9 +15,9 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.txt", per_batch: int = 1000) -> DataFrame:
-    """(path, text) of text files as they arrive."""
+    """(path, text, modified) of text files as they arrive."""
     read = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch)
-    return read.load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
+    return read.load(folder).select("path", F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
 
 
 def chunked(docs: DataFrame, size: int = text.CHUNK_SIZE, overlap: int = text.CHUNK_OVERLAP) -> DataFrame:
@@ -29,17 +29,22 @@ def chunked(docs: DataFrame, size: int = text.CHUNK_SIZE, overlap: int = text.CH
 
 
 def ingest(docs: DataFrame, table: VersionedTable, checkpoint: str, **chunking) -> StreamingQuery:
-    """Upsert a stream of (path, text) into table: the chunks of a path replace its former ones.
+    """Upsert a stream of (path, text[, modified]) into table: the chunks of a path replace its former ones.
 
-    Frequencies are derived at query time, so no state is kept between batches; a batch that is repeated after a
-    failure replaces its own rows.
+    Of several texts of one path in a batch the newest by `modified` counts (equal times, or no such column: the
+    greatest text). Frequencies are derived at query time, so no state is kept between batches; a batch that is repeated
+    after a failure replaces its own rows. A table with source_path as key rewrites the buckets of the batch's paths.
     """
     table.create()
+    order = F.struct("modified", "text") if "modified" in docs.columns else F.col("text")
 
     def upsert(batch: DataFrame, _: int) -> None:
-        new = chunked(batch.groupBy("path").agg(F.max("text").alias("text")), **chunking)
-        old = table.read().join(batch.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_anti")
-        table.replace(old.select(*new.columns).unionByName(new))
+        newest = batch.groupBy("path").agg(F.max_by("text", order).alias("text")).persist()
+        try:
+            new, paths = chunked(newest, **chunking), newest.select(F.col("path").alias("source_path"))
+            table.update(lambda old: old.join(paths, "source_path", "left_anti").select(*new.columns).unionByName(new), lambda _: paths)
+        finally:
+            newest.unpersist()
 
     return docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -158,6 +158,10 @@ def test_vector_store(spark, tmp_path):
     assert [r.id for r in s.read().collect()] == ["c"]
     s.clear("bert")
     assert s.count("bert") == 0
+    s.dispose()
+    with pytest.raises(RuntimeError):
+        s.count("bert")
+    assert s.initialize().count("bert") == 0
     with pytest.raises(ValueError):
         s.delete_document(" ")
     with pytest.raises(KeyError):
@@ -286,6 +290,62 @@ def test_versions_are_atomic(spark, tmp_path):
     assert sorted(r.k for r in t.read().collect()) == [0, 1, 2, 3]
 
 
+def test_changes_that_meet_are_both_kept(spark, tmp_path):
+    """A change that another one overtakes is made again on what that left."""
+    t = VersionedTable(spark, f"{tmp_path}/t", "k int, v string", key="v")
+    t.create()
+    row = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string")
+    met = []
+
+    def slow(old):
+        if not met:
+            met.append(VersionedTable(spark, f"{tmp_path}/t", "k int, v string", key="v").update(lambda rows: rows.unionByName(row(1, "a"))))
+        return old.unionByName(row(2, "a"))
+
+    t.update(slow)
+    assert sorted(r.k for r in t.read().collect()) == [1, 2]
+    t.update(lambda old: old.unionByName(row(3, "b")), lambda _: row(3, "b").select("v"))
+    assert sorted(r.k for r in t.read().collect()) == [1, 2, 3]
+
+
+def test_changes_rewrite_the_buckets_that_they_touch(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/t", "k long, v string", key="k", buckets=4)
+    t.create()
+    t.update(lambda old: old.unionByName(spark.range(100).selectExpr("id k", "'old' v")))
+    before = t._latest()[1]["folders"]
+    t.update(lambda old: old.where("k <> 7"), lambda old: old.where("k = 7").select("k"))
+    after = t._latest()[1]["folders"]
+    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
+    assert sorted(r.k for r in t.read().collect()) == [k for k in range(100) if k != 7]
+    t.update(lambda old: old, lambda old: old.where("k = 1000").select("k"))  # nothing to change
+    with pytest.raises(ValueError, match="did not name"):
+        t.update(lambda _: spark.range(50).selectExpr("id k", "'x' v"), lambda _: spark.range(1).selectExpr("id k"))
+    assert t.read().count() == 99 and len(list((tmp_path / "t").glob("version=*"))) <= 3
+    (tmp_path / "t" / "pointer" / f"{t._latest()[0] + 1:09d}").write_text("")  # a writer that broke off at once
+    assert t.read().count() == 99
+
+
+def test_embedding_calls_take_several_items(spark):
+    class Counting:
+        def __call__(self, items):
+            if "bad" in items:
+                raise RuntimeError("bad item")
+            return np.full((len(items), 2), len(items), dtype=float)
+
+    tasks = spark.createDataFrame([(str(k), "text", "bad" if k == 9 else "x", None) for k in range(10)], "task_id string, mode string, text string, image binary").coalesce(1)
+    got = {r.task_id: r for r in EmbeddingEngine(text=Counting, at_once=4).batch(tasks).collect()}
+    assert [got[str(k)].vector[0] for k in range(9)] == [4.0] * 8 + [1.0] and got["9"].error_message == "bad item"
+
+
+def test_stream_takes_the_newest_text(spark, tmp_path):
+    rows = [("p.txt", "z earlier", 1), ("p.txt", "a later", 2), ("q.txt", "only", 1)]
+    spark.createDataFrame(rows, "path string, text string, modified int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("path string, text string, modified int").parquet(f"{tmp_path}/in")
+    table = VersionedTable(spark, f"{tmp_path}/chunks", ingest.CHUNKS, key="source_path")
+    ingest.ingest(stream, table, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {(r.source_path, r.content) for r in table.read().collect()} == {("p.txt", "a later"), ("q.txt", "only")}
+
+
 ASTRONOMY = "The solar system holds eight planets around the sun. Mars is the planet known for being red because of iron oxide."
 COOKING = "Boil the pasta and toss it with tomato sauce and fresh basil leaves before serving."
 ACCESS = "WCAG guidelines ask for screen reader support, keyboard navigation and visible focus for accessibility."
