@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import scratch, table, words
 
 MAX_LABELLED = 8192
 WINDOW = 5
@@ -176,7 +176,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int =
     """Statistics of labelled texts that pass the base rules: one label per id, of at most max_labelled ids (the least hashes)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by max_labelled
+    # bounded by max_labelled; written, or the filter below would move under the join and take the statistics of all texts
+    texts = scratch(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled-texts")
     return statistics(texts, "text", ("doc_id", "quality")).where(~base_failed())
 
 
