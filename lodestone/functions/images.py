@@ -1,4 +1,4 @@
-"""Image bytes to model input. Decoders are given by the caller; PNG has one here."""
+"""Image bytes to model input: PNG and baseline JPEG; for other kinds the caller gives a decoder."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jpeg import decode_jpeg
+
 # Side of the model's input, bytes a pixel by PNG colour type.
 SIDE = 224
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -70,13 +72,18 @@ def decode_png(data: bytes) -> np.ndarray:
     return np.repeat(pixels[..., :1], 3, axis=2) if n < 3 else pixels[..., :3]
 
 
+def decode_image(data: bytes) -> np.ndarray:
+    """RGB of a PNG or JPEG, told apart by their first bytes."""
+    return decode_jpeg(data) if data[:2] == b"\xff\xd8" else decode_png(data)
+
+
 def resize(image: np.ndarray, side: int = SIDE) -> np.ndarray:
     """Nearest pixels on a side x side grid; the aspect is not kept."""
     rows, columns = np.arange(side) * image.shape[0] // side, np.arange(side) * image.shape[1] // side
     return image[rows][:, columns]
 
 
-def image_tensors(images: DataFrame, decode: Decoder = decode_png, side: int = SIDE, id_col: str = "path", content_col: str = "content") -> DataFrame:
+def image_tensors(images: DataFrame, decode: Decoder = decode_image, side: int = SIDE, id_col: str = "path", content_col: str = "content") -> DataFrame:
     """(id, ok, tensor array<float> of side x side x 3 values in 0..1, rows first, error_message) of every image."""
 
     def one(data: bytes | None) -> tuple[bool, np.ndarray | None, str | None]:

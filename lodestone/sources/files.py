@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
+from .pdf import pages as pdf_pages
 
 # Error codes.
 ERR_NOT_FOUND, ERR_UNSUPPORTED, ERR_CRASH = "ERR_FILE_NOT_FOUND", "ERR_UNSUPPORTED_FORMAT", "ERR_ENGINE_CRASH"
@@ -67,10 +68,10 @@ def image_size(data: bytes) -> tuple[int, int]:
     return 0, 0
 
 
-def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, ocr: Parser | None = None, docx: Parser = docx_text) -> DataFrame:
+def parse(files: DataFrame, pdf: Callable[[bytes], list[str]] | None = pdf_pages, ocr: Parser | None = None, docx: Parser = docx_text) -> DataFrame:
     """One result row per file; files: (path, content binary). A failing parser gives an error row, never an exception.
 
-    pdf returns the pages' texts, ocr an image's text; without them such files are reported as crashes of the engine.
+    pdf returns the pages' texts, ocr an image's text; without one such files are reported as crashes of the engine.
     """
 
     def one(path: str, kind: str, data: bytes) -> dict:
