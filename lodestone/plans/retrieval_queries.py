@@ -232,14 +232,22 @@ MEASURES = ("recall_at_1", "recall_at_5", "recall_at_10", "mrr")
 
 
 def truth(spark, sf, i):
-    """(qid, id): documents that hold a benchmark passage; found among those that hold its rarest token."""
+    """(qid, id): documents that hold a benchmark passage; found among those that hold its rarest inner token.
+
+    Passages of one or two words have no inner token: these few are looked for in all texts.
+    """
     q = C.queries(spark, sf).select("qid", text.normalize_text(F.col("query")).alias("qnorm"))
     toks = q.select("qid", F.explode(F.array_distinct(text.split_tokens(F.col("qnorm")))).alias("tok"))
     df = toks.join(i.document_frequency(), "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # first and last tokens may be parts of longer ones in a document, so the inner tokens decide
-    rare = df.join(_inner(q), ["qid", "tok"]).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("df", "tok"))).where("n = 1").select("qid", "tok")
+    inner = _inner(q)
+    rare = df.join(inner, ["qid", "tok"]).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("df", "tok"))).where("n = 1").select("qid", "tok")
     found = i.postings().join(rare, "tok").select("qid", "id").join(i.analyzed().select("id", "norm"), "id").join(q, "qid")
-    return found.where(F.contains("norm", "qnorm")).select("qid", "id")
+    found = found.where(F.contains("norm", "qnorm")).select("qid", "id")
+    short = q.join(inner.select("qid").distinct(), "qid", "left_anti")
+    if short.isEmpty():
+        return found
+    return found.unionByName(i.analyzed().select("id", "norm").join(short, F.contains("norm", "qnorm")).select("qid", "id"))
 
 
 def _inner(q):

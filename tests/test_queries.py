@@ -56,3 +56,15 @@ def test_streaming_query_equals_batch(spark):
 @pytest.mark.parametrize("name", ["ordered_match", "phrase_match"])
 def test_every_document_is_matched(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() == text_queries.documents(spark, SF).count()
+
+
+def test_short_passages_count(spark, tmp_path):
+    """Passages of one or two words, and one without any searchable character, are averaged over like the others."""
+    texts = ["the red planet mars is known for being red", "boil the pasta with tomato", "marsupials live there", "red"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = ["mars", "red planet", "the pasta with tomato", "nowhere", "!!!", "pasta with"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert compare(spark, "recall_mrr_keyword", catalogue.QUERIES["recall_mrr_keyword"], catalogue.ORACLE_SQL["recall_mrr_keyword"], str(tmp_path)) == 1
+    found = catalogue.QUERIES["recall_mrr_keyword"](spark, str(tmp_path)).first()
+    assert found.n_queries == 5
