@@ -128,8 +128,7 @@ class Pieces(dict):
         first = np.cumsum(length) - length
         ids = np.empty(int(length.sum()), dtype=np.uint32)
         begins = np.cumsum(lengths) - lengths
-        step = _steps(stem)
-        ids[np.repeat(first, stem) + step] = pool[np.repeat(begins[source], stem) + step]
+        ids[_places(first, stem)] = pool[_places(begins[source], stem)]
         ids[(first + stem)[marked >= 0]] = self.marks[marked[marked >= 0]]
         return ids, first, length
 
@@ -151,7 +150,7 @@ class Pieces(dict):
                 to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + GATHER, side="right")) - 1)
                 n = number[offsets[k] : offsets[to]]
                 size = length[n]
-                found = ids[np.repeat(first[n], size) + _steps(size)]
+                found = ids[_places(first[n], size)]
                 cuts = np.concatenate([[0], np.cumsum(size)])[offsets[k : to + 1] - offsets[k]].tolist()
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     yield found[a:b]
@@ -167,20 +166,29 @@ def _strings(found: pa.Array) -> list[str]:
     return found.to_numpy(zero_copy_only=False).tolist()
 
 
-def _steps(sizes: np.ndarray) -> np.ndarray:
-    """0 .. size - 1 for each size, one after the other."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def routing_key(terms: np.ndarray) -> bytes:
-    """The least hashes of a document's distinct terms, in order, as bytes that sort the same way."""
+def _term_hashes(terms: np.ndarray) -> np.ndarray:
     h = terms.astype(np.uint64) + np.uint64(1)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h = (h >> np.uint64(32)).astype(">u4")
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+#: Hashes of the smaller ids, so that they need not be worked out document by document.
+_HASHES = _term_hashes(np.arange(1 << 16))
+
+
+def routing_key(terms: np.ndarray) -> bytes:
+    """The least hashes of a document's distinct terms (in order), in order, as bytes that sort the same way."""
+    h = _HASHES[terms] if not len(terms) or terms[-1] < len(_HASHES) else _term_hashes(terms)
     if len(h) > KEY_TERMS:
-        h = np.partition(h.astype(np.uint32), KEY_TERMS - 1)[:KEY_TERMS].astype(">u4")
-    return np.sort(h).tobytes()
+        h = np.partition(h, KEY_TERMS - 1)[:KEY_TERMS]
+    return np.sort(h).astype(">u4").tobytes()
 
 
 @dataclass
