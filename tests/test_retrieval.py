@@ -93,6 +93,38 @@ def test_written_index_searches_alike(spark, tmp_path):
     assert sorted(map(tuple, i.written(f"{tmp_path}/i").search(q, 7).collect())) == sorted(map(tuple, i.search(q, 7).collect()))
 
 
+def test_search_sends_the_best_rows_only(spark, tmp_path):
+    """No (query, document) pair is shuffled: 800 documents that share words with 40 queries are 32,000 pairs."""
+    docs = [(str(k), "x.txt", " ".join(f"w{(k * j) % 60}" for j in range(1, 40)), {}) for k in range(800)]
+    i = index(spark, *docs).written(f"{tmp_path}/i")
+    q = ask(spark, *[" ".join(f"w{(k + j) % 60}" for j in range(20)) for k in range(40)])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert i.search(q, 3).count() == 120
+    assert written() - before < 60_000
+
+
+def test_repeated_ids_and_copies_rank_as_in_sql(spark, tmp_path):
+    from compare import compare
+
+    from lodestone.plans import catalogue
+
+    texts = ["the red planet mars"] * 70 + ["planet the mars red", "Marsk I st caf\u00e9\u00a0mars\t\x0bred", "", None, "red - 'planet' . the_ mars..", "if the planet"]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)] + [(3, "planet of the red mars", "en", "s", 1), (3, "if red", "en", "s", 1), (72, "red", "en", "s", 1), (None, "mars", "en", "s", 1), (None, "mars", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items = ["the red planet mars", "if the red red", "ed planet mar", "marsk i st", "nowhere", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("keyword_topk", "keyword_frequent_words"):
+        assert compare(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path)) > 0
+
+
+def test_written_texts_are_normalised_alike(spark, tmp_path):
+    odd = ["".join(map(chr, range(at, at + 64))) + "end" for at in (*range(0, 0x300, 64), 0x1E80, 0x2000, 0x2100, 0x2140, 0x3000, 0xFEC0, 0x1F600)]
+    i = index(spark, *[(str(k), "x.txt", t, {"title": " A\u0130B "}) for k, t in enumerate(odd)])
+    got = {(r.id, r.code, r.norm, tuple(r.toks)) for r in i.written(f"{tmp_path}/i").analyzed().collect()}
+    assert got == {(r.id, r.code, r.norm, tuple(r.toks)) for r in i.analyzed().collect()}
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("a", "p", None, {"data_type": "text", "file_extension": ".pdf"}), ("b", "p", None, {"data_type": "text"}), ("c", "q", None, None)], RECORD)
     assert [r.id for r in df.where(matches(df, {"data_type": "text", "file_extension": ".pdf"})).collect()] == ["a"]
