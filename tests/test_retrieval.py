@@ -104,6 +104,26 @@ def test_search_sends_the_best_rows_only(spark, tmp_path):
     assert written() - before < 60_000
 
 
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """Neither the search for passages nor the presentation of a result shuffles texts: 300 of 6 kB that hardly compress."""
+    import hashlib
+
+    from lodestone.plans import catalogue
+
+    noise = lambda k: " ".join(hashlib.sha256(f"{k}:{j}".encode()).hexdigest() for j in range(90))
+    rows = [(k, f"needle w{k % 7} {noise(k)}", "en", "s", 1) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"needle w{k} {noise(k)[:90]}") for k in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, [0.1, float(k)], 0) for k in range(5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    catalogue.QUERIES["keyword_topk"](spark, str(tmp_path)).collect()  # the index is there from now on
+    for name, n in (("recall_mrr_keyword", 1), ("presentation", 50)):
+        before = written()
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == n
+        catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+        assert written() - before < 3_000_000, name
+
+
 def test_repeated_ids_and_copies_rank_as_in_sql(spark, tmp_path):
     from compare import compare
 
@@ -114,7 +134,7 @@ def test_repeated_ids_and_copies_rank_as_in_sql(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     items = ["the red planet mars", "if the red red", "ed planet mar", "marsk i st", "nowhere", "", None]
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name in ("keyword_topk", "keyword_frequent_words"):
+    for name in ("keyword_topk", "keyword_frequent_words", "recall_mrr_keyword"):
         assert compare(spark, name, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path)) > 0
 
 
