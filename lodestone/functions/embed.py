@@ -58,6 +58,8 @@ class EmbeddingEngine:
     multimodal_text: Callable[[], Encode] = lambda: HashingEmbedder(512)
     image: Callable[[], Encode] = lambda: HashingEmbedder(512)
     at_once: int = 32
+    #: Type of the components: float as models have them, or double where a result is computed with.
+    component: str = "float"
 
     def batch(self, tasks: DataFrame) -> DataFrame:
         """Embed (task_id, mode, text, image) rows; mode: text, multimodal_text or image. A task's failure is its row.
@@ -66,6 +68,7 @@ class EmbeddingEngine:
         worker makes one call at a time, so the calls in flight on an executor are at most its task slots.
         """
         loaders, at_once = {"text": self.text, "multimodal_text": self.multimodal_text, "image": self.image}, self.at_once
+        kind = {"float": np.float32, "double": np.float64}[self.component]
 
         def finished(mode: str, v) -> dict:
             v = np.asarray(v, dtype=np.float64)
@@ -74,7 +77,7 @@ class EmbeddingEngine:
                 if not np.isfinite(v).all() or norm == 0:
                     raise ValueError("vector is zero or not finite")
                 v = v / norm
-            return {"ok": True, "vector": v.astype(np.float32).tolist()}
+            return {"ok": True, "vector": v.astype(kind).tolist()}
 
         def attempt(encode: Encode, mode: str, items: list) -> list[dict]:
             try:
@@ -117,4 +120,4 @@ class EmbeddingEngine:
                 rows = [dict.fromkeys(RESULT_COLUMNS) | {"task_id": t} | r for t, r in zip(pdf["task_id"], rows, strict=True)]
                 yield pd.DataFrame(rows, columns=RESULT_COLUMNS, dtype=object)
 
-        return tasks.select("task_id", "mode", "text", "image").mapInPandas(run, RESULT)
+        return tasks.select("task_id", "mode", "text", "image").mapInPandas(run, RESULT.replace("array<float>", f"array<{self.component}>"))

@@ -68,3 +68,11 @@ def test_short_passages_count(spark, tmp_path):
     assert compare(spark, "recall_mrr_keyword", catalogue.QUERIES["recall_mrr_keyword"], catalogue.ORACLE_SQL["recall_mrr_keyword"], str(tmp_path)) == 1
     found = catalogue.QUERIES["recall_mrr_keyword"](spark, str(tmp_path)).first()
     assert found.n_queries == 5
+
+
+def test_embed_modes_next_to_half_a_unit(spark, tmp_path):
+    """170 / norm lies so near half a unit of the fourth place that a float of it is rounded to the other side."""
+    n = [101, 16, 0, 44, 182, 14, 8, 155, 74, 0, 0, 30, 1, 170, 94, 0, 0, 72, 62, 191, 13, 0, 14, 0, 18, 0]
+    rows = [(1, "".join(chr(97 + k) * c for k, c in enumerate(n)), "en", "s"), (4, "", "en", "s"), (7, "!", "en", "s"), (0, "abc", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare(spark, "embed_modes", catalogue.QUERIES["embed_modes"], catalogue.ORACLE_SQL["embed_modes"], str(tmp_path)) == 4
