@@ -45,6 +45,9 @@ SORTED = 4096
 SAMPLED = 16
 #: Occurrences that a parsing task remembers to settle repeats on its own; beyond it it forgets and begins anew.
 REMEMBERED = 1_000_000
+#: Strings that a task remembers where they are dealt by hash; beyond it it forgets and begins anew.
+STRINGS = 200_000
+NAMES = ["h", "h2", "doc", "start", "last"]
 #: Bits for the number of strings in a packed place; the first string's start is above them.
 COUNT_BITS = 6
 #: Positions share a 64-bit key with the rolling hash, so texts are parsed in overlapping pieces of this many bytes.
@@ -273,13 +276,46 @@ def _whole_groups(rows: pa.Table) -> Iterator[pa.Table]:
 
 
 def _hashed_strings(length: int):
+    """Strings by their hashes: the first of each that a task has met, and runs of later ones as spans without hashes.
+
+    So a string that fills phrases of many documents meets others once a task, not once a phrase.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int]] = {}
+
+        def firsts() -> pa.RecordBatch:
+            h = np.frombuffer(b"".join(known), dtype="<i8").reshape(-1, 2)
+            doc, start = (pa.array([x[k] for x in known.values()], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), doc, start, start], names=NAMES)
+
         for whole in batches:
             for at in range(0, whole.num_rows, SORTED):
                 _, strings, doc, start = _expand(pa.Table.from_batches([whole.slice(at, SORTED)]), length)
                 data = strings.tobytes()
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(0, len(data), length)), dtype="<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc), pa.array(start)], names=["h", "h2", "doc", "start"])
+                later: list[tuple[int, int]] = []
+                for k, place in enumerate(zip(doc.tolist(), start.tolist(), strict=True)):
+                    h = xxhash.xxh3_128_digest(data[k * length : (k + 1) * length])
+                    seen = known.setdefault(h, place)
+                    if seen < place:
+                        later.append(place)
+                    elif seen > place:  # the one remembered comes later
+                        later.append(seen)
+                        known[h] = place
+                if later:
+                    x = np.array(sorted(later), dtype=np.int64)
+                    new = np.concatenate([[True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1] + 1)])
+                    begin = np.flatnonzero(new)
+                    end = np.append(begin[1:], len(x)) - 1
+                    none = pa.nulls(len(begin), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(x[begin, 0]), pa.array(x[begin, 1]), pa.array(x[end, 1])], names=NAMES)
+                if len(known) > STRINGS:
+                    yield firsts()
+                    known.clear()
+        if known:
+            yield firsts()
+        known.clear()
+        release_memory()
 
     return run
 
@@ -321,11 +357,12 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
         most_sorted = min(SORTED, max(64, phrases.count() // (4 * partitions)))
     few = phrases.where(F.col("m") <= most_sorted).select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g", "doc", "place")
     few = few.mapInArrow(_sorted_repeats(length), SPAN)
-    strings = scratch(phrases.where(F.col("m") > most_sorted).select("doc", "place", "phrase").mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long"), "strings")
+    strings = scratch(phrases.where(F.col("m") > most_sorted).select("doc", "place", "phrase").mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long, last long"), "strings")
+    known, strings = strings.where("h is null").select("doc", F.col("start").alias("first"), "last"), strings.where("h is not null").select("h", "h2", "doc", "start")
     start = F.struct("doc", "start")
     earliest = strings.groupBy("h", "h2").agg(F.min(start).alias("a"), F.count("*").alias("n")).where("n > 1")
     many = join_counted(strings, scratch(earliest, "first-strings", strings.count()), ["h", "h2"]).where(start > F.col("a")).select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
-    return whole.unionByName(few).unionByName(many)
+    return whole.unionByName(few).unionByName(known).unionByName(many)
 
 
 def _cut(length: int, with_text: bool):

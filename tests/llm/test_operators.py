@@ -750,3 +750,16 @@ def test_columns_of_any_name(spark, docs):
         assert sorted(((x.doc_id, x.text, x.source) for x in rows), key=str) == sorted(((x.doc_id, x.text, x.source) for x in op(docs).collect()), key=str), name
         at = got.columns.index("gone")
         assert all(x[at] == f"gone{x.doc_id}" for x in rows), name
+
+
+def test_hot_strings_leave_a_task_once():
+    """A string that 50 phrases of one task hold goes to the join once, its later places as one span a phrase."""
+    import pyarrow as pa
+
+    text = bytes(range(65, 91)) * 6
+    n = 20
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50, 0, -1), pa.int64()), pa.array([7 << substring_dedup.COUNT_BITS | n] * 50, pa.int64()), pa.array([text[: n + 99]] * 50, pa.binary())], names=["doc", "place", "phrase"])
+    out = pa.Table.from_batches(list(substring_dedup._hashed_strings(100)(iter([rows])))).to_pylist()
+    firsts, spans = [r for r in out if r["h"] is not None], [r for r in out if r["h"] is None]
+    assert sorted((r["doc"], r["start"]) for r in firsts) == [(1, 7 + k) for k in range(n)]
+    assert sorted((r["doc"], r["start"], r["last"]) for r in spans) == [(d, 7, 6 + n) for d in range(2, 51)]
