@@ -1,11 +1,13 @@
-"""Embedding near-dedup: an HNSW graph per shard, every shard queried, beams widened until recall audits pass.
+"""Embedding near-dedup: an HNSW graph per shard, every shard queried, exact products where recall audits fail.
 
 Equal vectors of a label are one node with a count. The nodes of a label are dealt by hash into shards of about
 `shard_size`; each shard's graph is built in one task and written to the shared folder. A shard then meets each other
 shard of its label once, in a task that holds its graph and takes the vectors of half of the others one shard after the
 other. A query whose beam is full of links is asked again with a wider beam, and if that is full too with one as wide
 as the shard, which is a block of products over all its vectors. Queries drawn at random and those with the nearest
-neighbours are audited against an exact search of the shard, and all beams widen until the audit finds nothing missing.
+neighbours are audited against an exact search of the shard. Where the audit finds a link missing, all beams widen as
+long as that costs less than the block products would, and then the products check all queries: each pair of shards is
+searched a bounded number of times, whatever its graph misses.
 Cosines are verified in double precision. Links are added to sums by node and to a spanning forest as they are found; a
 task never holds more of them than a beam for each vector, so a dense group costs memory for its size and not its square.
 """
@@ -23,11 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import release_memory, scratch
 from .components import connected_components, spanning
-from .hnsw import Graph
+from .hnsw import M0, Graph
 
 COSINE, SHARD_SIZE, EF = 0.98, 8192, 32
 #: Queries audited: one in AUDIT_SHARE at random and as many of those with the nearest neighbours, AUDIT each at least.
 AUDIT, AUDIT_SHARE = 64, 64
+#: A vector looked at in a graph costs as much as so many in block products: on one core 330 and 50 ns, 64 components.
+LOOK = 6
 #: float32 dot products may fall short of the double ones by this much.
 SLACK = 1e-4
 #: Queries answered together.
@@ -106,7 +110,8 @@ class Links:
 
 
 def collect_links(queries: np.ndarray, shard: Shard, links: Links, cosine: float, ef: int = EF, audit: int = AUDIT) -> int:
-    """Add all links of the queries to a shard to `links`, after the audits; the beam's width that passed them."""
+    """Add all links of the queries to a shard to `links`, after the audits; the beam's width that passed them, which is
+    the shard's size if none did and the links come from block products."""
     norms = np.linalg.norm(queries, axis=1)
     unit = (queries / norms[:, None]).astype(np.float32)
     n, own = len(shard.vectors), 2 if links.same else 1  # of queries among the vectors the nearest is the query itself
@@ -153,6 +158,10 @@ def collect_links(queries: np.ndarray, shard: Shard, links: Links, cosine: float
         if ef >= n or all((hit.sum(axis=1) == counts[part]).all() for part, hit in dense_rows(sample)):
             break
         ef = min(n, 4 * ef)
+        if LOOK * M0 * ef >= n:
+            ef, full, q, v = n, np.arange(len(queries)), q[:0], v[:0]
+            sparse[:] = False
+            break
     for part, hit in dense_rows(full):
         links.add_rows(part, hit, sparse if links.same else None)
     if links.same:  # links between two of the others, found from either side, count once

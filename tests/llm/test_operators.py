@@ -197,6 +197,28 @@ def test_embedding_awkward(spark):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_failed_audit_is_settled_in_one_pass(same):
+    """Links that a graph cannot reach are found by block products, not by ever wider beams."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(600, 24))
+    v = np.repeat(base, 5, axis=0) + 0.01 * r.normal(size=(3000, 24))
+    graph = Graph((v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32))
+    lost = np.arange(3000) % 2 == 1  # no link leads to these
+    graph.links = [np.where(lost[x] & (x >= 0), -1, x) for x in graph.links]
+    graph.level[lost] = 0
+    asked, search = [], graph.search
+    graph.search = lambda queries, ef: asked.append(len(queries) * ef) or search(queries, ef)
+    q = v if same else v + 0.001
+    links = embedding_dedup.Links(np.ones(3000, np.int64), None if same else np.ones(3000, np.int64))
+    assert embedding_dedup.collect_links(q, embedding_dedup.Shard(v, graph), links, 0.98) == 3000
+    assert sum(asked) <= 3000 * (32 + 128)
+    hit = (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1) >= 0.98
+    if same:
+        np.fill_diagonal(hit, False)
+    assert (links.sums == (hit.sum(axis=1) if same else np.concatenate([hit.sum(axis=0), hit.sum(axis=1)]))).all()
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------------------
 
 
