@@ -15,13 +15,16 @@ same document further left). The work is done on a parse of the corpus, not on i
    `length`: equal strings share their trigger and lie wholly in a phrase, so neither a suffix of another trigger nor
    the order of the parse behind the phrase can decide between them. Equal strings come next to each other in corpus
    order; all but the first are repeated. Triggers with so many phrases that they would fill a task are not sorted as
-   one group: their strings are dealt by hash and reduced to the first of each in Spark, with the same result. Very
-   frequent triggers are found beforehand in a sixteenth of the documents and dealt by phrase from the start; which
-   ones are found decides where rows go and nothing else.
+   one group: their phrases are cut into portions of WIDTHS strings by the distance to the trigger, and dealt by the
+   bytes that all strings of a portion share, which are most of a string. Portions that meet no other are done, groups
+   that a task can hold are sorted, and larger ones are cut finer. What still fills a task after the finest cut goes on
+   as single strings, dealt by hash and reduced to the first of each in Spark. The result is the same. Very frequent
+   triggers are found beforehand in a sixteenth of the documents and dealt by phrase from the start; which ones are
+   found decides where rows go and nothing else.
 4. The repeated spans of a document meet its text once more, are united and cut out.
 
 Phrases are compared by a 64-bit hash of trigger and another of the whole phrase; the strings in step 3 by their bytes,
-or by a 128-bit hash where they are dealt by it.
+or by a 128-bit hash of the portion within a task and of the string where they are dealt by it.
 """
 
 from __future__ import annotations
@@ -47,6 +50,11 @@ SAMPLED = 16
 REMEMBERED = 1_000_000
 #: Strings that a task remembers where they are dealt by hash; beyond it it forgets and begins anew.
 STRINGS = 200_000
+#: The same for portions, whose bytes are held as well.
+PORTIONS = 50_000
+#: Strings in a portion of a phrase around a trigger with too many of them, and in those of a portion that is still met
+#: by too many.
+WIDTHS = (16, 4)
 NAMES = ["h", "h2", "doc", "start", "last"]
 #: Bits for the number of strings in a packed place; the first string's start is above them.
 COUNT_BITS = 6
@@ -275,6 +283,62 @@ def _whole_groups(rows: pa.Table) -> Iterator[pa.Table]:
         at = end
 
 
+def _portions(length: int, gram: int, width: int):
+    """Phrases cut at distances from the trigger that `width` divides, and g from what a portion's strings share.
+
+    Equal strings lie at one distance from their trigger, so portions that hold them have one g. Of equal portions a
+    task sends the first that it has met; later ones go without g and bytes, as repeated wholes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int, int, bytes]] = {}
+
+        def rows(g, doc, place, data) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(data, pa.binary())], names=["g", "doc", "place", "phrase"])
+
+        def firsts() -> pa.RecordBatch:
+            doc, place, g, data = zip(*known.values(), strict=True)
+            return rows(g, doc, place, data)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SORTED):
+                part = whole.slice(at, SORTED)
+                texts, places = part.column("phrase").to_pylist(), part.column("place").to_pylist()
+                begins = np.cumsum([0, *map(len, texts[:-1])])
+                hashes = rolling(b"".join(texts), gram) & ~_MASK  # as in parse(), the leftmost of the least
+                triggers = np.lib.stride_tricks.sliding_window_view(hashes, length - gram + 1)[begins].argmin(axis=1)
+                later: list[tuple[int, int]] = []
+                for doc, place, data, t in zip(part.column("doc").to_pylist(), places, texts, triggers.tolist(), strict=True):
+                    first, count = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
+                    i = 0
+                    while i < count:
+                        k = (t - i) // width
+                        shared = t - k * width  # start of the last string of a whole portion, where the shared bytes begin
+                        end = min(count, shared + 1)
+                        portion, place = data[i : end - 1 + length], first + i << COUNT_BITS | end - i
+                        h = xxhash.xxh3_128_digest(portion)
+                        seen = known.get(h)
+                        if seen and seen[:2] < (doc, place):
+                            later.append((doc, place))
+                        elif not seen or seen[:2] > (doc, place):
+                            if seen:  # the one remembered comes later
+                                later.append(seen[:2])
+                            known[h] = (doc, place, xxhash.xxh64_intdigest(data[shared : shared - width + 1 + length], k) >> 1, portion)
+                        i = end
+                if later:
+                    none = [None] * len(later)
+                    yield rows(none, *zip(*later, strict=True), none)
+                if len(known) > PORTIONS:
+                    yield firsts()
+                    known.clear()
+        if known:
+            yield firsts()
+        known.clear()
+        release_memory()
+
+    return run
+
+
 def _hashed_strings(length: int):
     """Strings by their hashes: the first of each that a task has met, and runs of later ones as spans without hashes.
 
@@ -355,9 +419,19 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     if most_sorted is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         most_sorted = min(SORTED, max(64, phrases.count() // (4 * partitions)))
-    few = phrases.where(F.col("m") <= most_sorted).select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g", "doc", "place")
-    few = few.mapInArrow(_sorted_repeats(length), SPAN)
-    strings = scratch(phrases.where(F.col("m") > most_sorted).select("doc", "place", "phrase").mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long, last long"), "strings")
+    keep = ["g", "doc", "place", "phrase"]
+    few, many = phrases.where(F.col("m") <= most_sorted).select(keep), phrases.where(F.col("m") > most_sorted).select(keep)
+    for width in WIDTHS:
+        if many.isEmpty():
+            break
+        dealt = scratch(many.select(keep[1:]).mapInArrow(_portions(length, gram, width), "g long, doc long, place long, phrase binary"), "portions")
+        whole = whole.unionByName(dealt.where("g is null").select("doc", at.alias("first"), (at + count - 1).alias("last")))
+        dealt = dealt.where("g is not null")
+        groups = scratch(dealt.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "portion-groups", dealt.count())
+        few = few.unionByName(join_counted(dealt, groups.where(F.col("n") <= most_sorted), ["g"]))
+        many = join_counted(dealt, groups.where(F.col("n") > most_sorted), ["g"])
+    few = few.repartition("g").sortWithinPartitions("g", "doc", "place").mapInArrow(_sorted_repeats(length), SPAN)
+    strings = scratch(many.select(keep[1:]).mapInArrow(_hashed_strings(length), "h long, h2 long, doc long, start long, last long"), "strings")
     known, strings = strings.where("h is null").select("doc", F.col("start").alias("first"), "last"), strings.where("h is not null").select("h", "h2", "doc", "start")
     start = F.struct("doc", "start")
     earliest = strings.groupBy("h", "h2").agg(F.min(start).alias("a"), F.count("*").alias("n")).where("n > 1")

@@ -785,3 +785,58 @@ def test_hot_strings_leave_a_task_once():
     firsts, spans = [r for r in out if r["h"] is not None], [r for r in out if r["h"] is None]
     assert sorted((r["doc"], r["start"]) for r in firsts) == [(1, 7 + k) for k in range(n)]
     assert sorted((r["doc"], r["start"], r["last"]) for r in spans) == [(d, 7, 6 + n) for d in range(2, 51)]
+
+
+@pytest.mark.parametrize("most_sorted", [64, 20])
+def test_hot_phrases_do_not_become_a_row_for_each_string(spark, monkeypatch, most_sorted):
+    """300 documents hold one trigger in different phrases; a few share more around it."""
+    r, words = random.Random(5), vocabulary()
+    line = prose(r, words, 9)
+    longer = f"{prose(r, words, 4)} {line} {prose(r, words, 4)}"
+    texts = [f"{prose(r, words, 12)} {longer if k % 10 == 0 else line} {prose(r, words, 12)}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, scratch = {}, substring_dedup.scratch
+
+    def counted(frame, name, rows=None):
+        out = scratch(frame, name, rows)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "scratch", counted)
+    monkeypatch.setattr(substring_dedup.repeated_spans, "__defaults__", (100, 40, most_sorted, np.unique(np.concatenate([substring_dedup.parse(t.encode())[2] for t in texts]))))
+    got = {x.id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.dedup_substrings(df).collect()}
+    assert got == brute.substrings(list(enumerate(texts)))
+    assert made.get("portions", 0) + made["strings"] < 6 * made["dictionary"]
+
+
+@pytest.mark.parametrize("width", [16, 4])
+def test_equal_strings_have_portions_of_one_key(width):
+    import pyarrow as pa
+
+    r, words = random.Random(6), vocabulary()
+    line = prose(r, words, 30)
+    rows, length = [], 100
+    for doc in range(40):
+        data = f"{prose(r, words, 5)} {line[doc:]} {prose(r, words, 5)}".encode()
+        first, count, _ = substring_dedup.parse(data)
+        rows += [(doc, a << substring_dedup.COUNT_BITS | n, data[a : a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+    r.shuffle(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "place", "phrase"])
+    out = pa.Table.from_batches(list(substring_dedup._portions(length, 40, width)(iter([batch])))).to_pylist()
+    mask = (1 << substring_dedup.COUNT_BITS) - 1
+    starts = lambda doc, place, *_: {(doc, (place >> substring_dedup.COUNT_BITS) + k) for k in range(place & mask)}
+    assert sum((x["place"] & mask) for x in out) == sum(p & mask for _, p, _ in rows)
+    assert set().union(*(starts(x["doc"], x["place"]) for x in out)) == set().union(*(starts(*x) for x in rows))
+    keys, least = {}, {}
+    for x in out:
+        if x["g"] is not None:
+            assert len(x["phrase"]) == (x["place"] & mask) + length - 1 and (x["place"] & mask) <= width
+            for k in range(x["place"] & mask):
+                keys.setdefault(x["phrase"][k : k + length], set()).add(x["g"])
+                least.setdefault(x["phrase"][k : k + length], []).append((x["doc"], (x["place"] >> substring_dedup.COUNT_BITS) + k))
+    assert all(len(g) == 1 for g in keys.values())
+    want = {}
+    for doc, place, data in rows:
+        for k in range(place & mask):
+            want.setdefault(data[k : k + length], []).append((doc, (place >> substring_dedup.COUNT_BITS) + k))
+    assert {k: min(v) for k, v in least.items()} == {k: min(v) for k, v in want.items()}
